@@ -1,0 +1,4 @@
+"""Named queries of the engine's own operators, each with its SQL."""
+
+QUERIES = {}
+ORACLES = {}
