@@ -41,15 +41,18 @@ def attach(parsed: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
     return placed.join(small(carry), ["report_id", "chunk"], "left").withColumn("opened", F.coalesce("_open", "carried")).drop("_previous", "_open", "carried", "chunk")
 
 
-def assemble(parsed: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
-    """Entries of parsed lines: ``report_id, first_line, last_line, level_id, component, message_hash``.
+def blocks(parsed: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
+    """Entries of parsed lines, and what separates them: ``report_id, first_line, last_line, entry, level_id,
+    component, message_hash``; ``entry`` is false for headings, durations, traces and dumps.
 
     The level of an entry is that of its first line, else of the line after it, or of its
     fields, as its layout has it; ``message_hash`` covers all its lines in order (null where
-    the parse had no messages).
+    the parse had no messages).  A column ``at_micros`` of ``parsed``, if there is one, comes out as the
+    entry's own time.
     """
     at, kind = F.col("line_number") - F.col("opened"), F.col("kind")
     opening = at == 0
+    timed = [F.max("at_micros").alias("at_micros")] if "at_micros" in parsed.columns else []
     whole = (
         attach(parsed, size)
         .where("opened is not null")
@@ -63,20 +66,20 @@ def assemble(parsed: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
             F.max(F.when(opening, F.col("component"))).alias("component"),
             F.max(F.when(kind == L.FIELD, F.col("component"))).alias("field_component"),
             F.bit_xor(F.xxhash64(F.col("message_hash"), at)).alias("message_hash"),
+            *timed,
         )
     )
     braces = F.col("kind") == L.JOPEN
-    return (
-        whole.where(F.col("kind").isin(L.START, L.JUL, L.JOPEN))
-        .select(
-            "report_id",
-            F.col("opened").alias("first_line"),
-            "last_line",
-            F.when(braces, F.col("field")).when(F.col("kind") == L.JUL, F.col("next")).otherwise(F.col("own")).cast("int").alias("level_id"),
-            F.when(braces, F.col("field_component")).otherwise(F.col("component")).alias("component"),
-            "message_hash",
-        )
-        .where("level_id > 0")
+    level = F.when(braces, F.col("field")).when(F.col("kind") == L.JUL, F.col("next")).otherwise(F.col("own")).cast("int")
+    return whole.select(
+        "report_id",
+        F.col("opened").alias("first_line"),
+        "last_line",
+        (F.col("kind").isin(L.START, L.JUL, L.JOPEN) & (F.coalesce(level, F.lit(0)) > 0)).alias("entry"),
+        level.alias("level_id"),
+        F.when(braces, F.col("field_component")).otherwise(F.col("component")).alias("component"),
+        "message_hash",
+        *[c for c in ("at_micros",) if timed],
     )
 
 
@@ -90,4 +93,4 @@ def log_entries(lines: DataFrame) -> DataFrame:
     """
     parsed = materialize(parse_lines(lines), "parsed")
     names = F.array(*map(F.lit, L.LEVELS))
-    return assemble(parsed).select("report_id", "first_line", "last_line", F.element_at(names, F.col("level_id")).alias("log_level"), "component")
+    return blocks(parsed).where("entry").select("report_id", "first_line", "last_line", F.element_at(names, F.col("level_id")).alias("log_level"), "component")
