@@ -38,7 +38,12 @@ def query_pattern(pattern: str) -> str | None:
     p = pattern.replace("(?P<", "(?<")
     p = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", p)
     p = re.sub(r"(?<!\\)\$$", r"\\z", p)
-    return f"(?iu){p}"
+    return f"(?iud){p}"
+
+
+def like_python(pattern: str) -> str:
+    """A pattern for which, as in Python, only a line feed ends a line (Java also takes carriage return and others)."""
+    return f"(?d){pattern}"
 
 
 def text_pieces(c: Column) -> Column:

@@ -37,7 +37,7 @@ def java_pattern(pattern: str) -> str:
     """A start-anchored pattern with Python's classes and end in Java's dialect."""
     p = pattern.replace("(?P<", "(?<")
     p = re.sub(r"(?<!\\)\$$", r"\\z", p)
-    return f"(?U)^(?:{p})"
+    return f"(?Ud)^(?:{p})"
 
 
 def match_types(content: Column, markers=MARKERS) -> Column:
