@@ -32,25 +32,30 @@ def report(n, seed):
 
 
 def brute_pieces(lines, start, end, limit, overlap):
-    size = {i: (len(lines[i - 1]) + 3) // 4 for i in range(start, end + 1)}
+    sums = [0]
+    for x in lines:
+        sums.append(sums[-1] + (len(x) + 3) // 4)
+
+    def size(a, z):
+        return sums[z] - sums[a - 1]
 
     def natural(i):
         x = lines[i - 1]
         opens = L.extract(L.resolve(L.signature(x)), x).kind in (L.START, L.JUL, L.JOPEN)
         return opens or (bool(x.strip()) and (is_marker(x.strip()) or (i > start and not lines[i - 2].strip())))
 
-    if sum(size.values()) <= limit:
+    if size(start, end) <= limit:
         return []
     out, at, done = [], start, start - 1
     while True:
-        if sum(size[i] for i in range(at, end + 1)) <= limit:
+        if size(at, end) <= limit:
             return out + [(at, end)]
         while True:
-            fits = [e for e in range(done + 1, end) if sum(size[i] for i in range(at, e + 1)) <= limit]
-            if fits or at > done:
+            fits = [e for e in range(done + 1, end) if size(at, e) <= limit]
+            if fits or at > done or size(at, end) <= limit:
                 break
             at += 1
-        if sum(size[i] for i in range(at, end + 1)) <= limit:
+        if size(at, end) <= limit:
             return out + [(at, end)]
         good = [e for e in fits if natural(e + 1)]
         e = good[-1] if good else fits[-1] if fits else done + 1

@@ -24,7 +24,9 @@ def test_bit_parallel_distance_is_the_plain_one():
 
 def truth(doc, item):
     runs = any(doc[a : a + RUN] == item[b : b + RUN] for b in range(len(item) - RUN + 1) for a in range(len(doc) - RUN + 1))
-    return runs or any(plain_distance(item[b : b + n], doc) <= n // 10 for n in range(20, len(item) + 1) for b in range(len(item) - n + 1))
+    windows = [item[b : b + n] for n in range(20, len(item) + 1) for b in range(len(item) - n + 1)]
+    # a window shares at least nine tenths of its words with the document, else its distance needn't be worked out
+    return runs or any(plain_distance(w, doc) <= len(w) // 10 for w in windows if sum(x in doc for x in w) >= 0.9 * len(w))
 
 
 def test_equals_brute_force():
@@ -33,7 +35,7 @@ def test_equals_brute_force():
     items = [(k, [r.choice(vocab) for _ in range(45)]) for k in range(8)]
     auto = _automaton(items)
     seen = set()
-    for n in range(120):
+    for n in range(60):
         k = r.randrange(8)
         length = r.choice([8, 11, 12, 15, 20, 26, 30, 40])
         at = r.randrange(45 - length + 1)
