@@ -41,14 +41,14 @@ def _readings(batches):
         )
 
 
-def candidates(lines: DataFrame, reports: DataFrame) -> DataFrame:
-    """``report_id, line_number, readings array<bigint>, orders array<tinyint>`` of every line that states a time it
+def candidates(parsed: DataFrame, reports: DataFrame) -> DataFrame:
+    """``report_id, line_number, readings array<bigint>, orders array<tinyint>`` of every parsed line that states a time it
     has at least one valid interpretation of."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     about = reports.where("report_id is not null").groupBy("report_id").agg(
         F.max("tz_name").alias("tz_name"), F.max(micros("boot_at")).alias("boot"), F.max(micros("captured_at")).alias("captured")
     )
-    stated = parse_lines(lines, times=True, fields=False).select("report_id", "line_number", "clock", "micros", "swapped", "zone_offset", "zone_abbr")
+    stated = parsed.where("clock > 0").select("report_id", "line_number", "clock", "micros", "swapped", "zone_offset", "zone_abbr")
     joined = stated.join(small(about), "report_id", "left")
     return joined.mapInArrow(_readings, "report_id bigint, line_number bigint, readings array<bigint>, orders array<tinyint>")
 
@@ -121,6 +121,11 @@ def choose(found: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
     return chunked.join(ends, ["report_id", "chunk"], "left").groupBy("report_id", "chunk").applyInArrow(_choose, "report_id bigint, line_number bigint, utc_micros bigint")
 
 
+def parsed_instants(parsed: DataFrame, reports: DataFrame) -> DataFrame:
+    """What `instants` gives, of lines parsed with their times."""
+    return choose(materialize(candidates(parsed, reports), "readings"))
+
+
 def instants(lines: DataFrame, reports: DataFrame) -> DataFrame:
     """``report_id, line_number, utc_micros`` of every line that states its own time.
 
@@ -130,4 +135,4 @@ def instants(lines: DataFrame, reports: DataFrame) -> DataFrame:
     lines count once, empty tables give no rows, extra columns are ignored.  Finer digits than
     microseconds are cut off.
     """
-    return choose(materialize(candidates(lines, reports), "readings"))
+    return parsed_instants(parse_lines(lines, times=True, fields=False), reports)
