@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.operators.entries import blocks
-from strataline.operators.instants import instants
+from strataline.operators.instants import parsed_instants
 from strataline.operators.parsing import parse_lines
 from strataline.session import CHUNK_LINES, materialize
 
@@ -109,8 +109,8 @@ def event_runs(lines: DataFrame, reports: DataFrame | None = None) -> DataFrame:
     Null content is ignored, repeated lines count once, an empty table gives no rows, extra
     columns are ignored.
     """
-    parsed = parse_lines(lines, messages=True)
+    parsed = materialize(parse_lines(lines, times=reports is not None, messages=True), "parsed")
     if reports is not None:
-        at = instants(lines, reports).withColumnRenamed("utc_micros", "at_micros")
-        parsed = materialize(parsed, "parsed").join(at, ["report_id", "line_number"], "left")
-    return collapse(blocks(materialize(parsed, "parsed")))
+        at = parsed_instants(parsed, reports).withColumnRenamed("utc_micros", "at_micros")
+        parsed = materialize(parsed.join(at, ["report_id", "line_number"], "left"), "timed")
+    return collapse(blocks(parsed))
