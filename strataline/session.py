@@ -15,6 +15,8 @@ BROADCAST_BYTES = 32 << 20
 #: report, however long, is ordered within one task.
 CHUNK_LINES = 4096
 
+_written: list[str] = []
+
 
 def local_session(app: str = "strataline", cores: str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and benches; a cluster brings its own."""
@@ -52,9 +54,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables `materialize` wrote in this process; results that read them must be done.  How many there were."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimised plan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -82,9 +82,13 @@ def load_queries(path: str | Path) -> list[dict]:
 
 
 def save_index(df: DataFrame, path: str, codec: str = "zstd", by: tuple[str, ...] = ()) -> None:
-    """Write an index table, sorted within files by its key so that lookups skip row groups."""
+    """Write an index table, sorted within files by its key so that lookups skip row groups, with Bloom filters of the keys."""
     first = [c for c in ("keyword", "query_name", "report_id", "line_number") if c in df.columns]
-    df.sortWithinPartitions(*first).write.mode("overwrite").option("compression", codec).partitionBy(*by).parquet(path)
+    writer = df.sortWithinPartitions(*first).write.mode("overwrite").option("compression", codec)
+    for key in ("keyword", "query_name"):
+        if key in df.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    writer.partitionBy(*by).parquet(path)
 
 
 def load_indexes(spark: SparkSession, root: str, names: tuple[str, ...] = ("sections", "keywords", "queries")) -> dict[str, DataFrame | None]:

@@ -4,7 +4,7 @@ import json
 
 from strataline import cli
 from strataline.streaming import tail
-from tests.test_reference import REPORT
+from tests.test_operators import REPORT
 
 
 def test_build_query_analyze(spark, tmp_path, capsys):

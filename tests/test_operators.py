@@ -5,7 +5,7 @@ import pytest
 from strataline.functions.textnorm import query_pattern, stripped, text_pieces
 from strataline.operators import blocks, catalog, context, index, language, query, sections, timing
 from strataline.operators.boundaries import boundaries, is_marker
-from strataline.session import materialize, small
+from strataline.session import materialize, release, small
 from strataline.sources import config as C
 from strataline.sources import lines as S
 
@@ -227,6 +227,8 @@ def test_config(tmp_path):
 
 
 def test_materialize_and_small(spark):
+    release(spark)
     df = materialize(spark.range(5).selectExpr("id", "array(id) a"), "t")
     assert df.count() == 5 and "parquet" in df.inputFiles()[0]
+    assert release(spark) == 1 and release(spark) == 0
     assert "hints" not in str(small(df, 0)._jdf.queryExecution().logical()) and "broadcast" in str(small(df)._jdf.queryExecution().logical()).lower()
