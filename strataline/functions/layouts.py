@@ -43,7 +43,7 @@ MONTHS = {m: i for i, m in enumerate(("Jan", "Feb", "Mar", "Apr", "May", "Jun",
 NO_TIME, EPOCH, LOCAL, YEARLESS, BOOT = range(5)
 # ----------------------------------------------------------------
 
-HEAD, SIGNATURE = 96, 28
+HEAD, SIGNATURE = 48, 28
 _CLASSES = bytearray(range(256))
 for _c in range(256):
     if chr(_c).isascii() and (chr(_c).isalpha() or _c == 95) or _c >= 128:
@@ -53,16 +53,25 @@ for _c in range(256):
     elif _c in (9, 10, 11, 12, 13, 28, 29, 30, 31):
         _CLASSES[_c] = 32
 _CLASSES = bytes(_CLASSES)
-#: Replacements that shorten a run of up to 8 * HEAD equal bytes to one: 8 to 1, 4 to 1, then halves.
+#: Replacements that shorten any run of up to 4 * HEAD equal bytes to one: 8 to 1, 4 to 1, then halves.
 _HALVINGS = [(c * n, c) for n in (8, 8, 4, 2, 2, 2) for c in (b"a", b"9", b" ")]
 
 
+def head(line: str) -> bytes:
+    """Character classes of the head of a line, not yet collapsed."""
+    return line[:HEAD].encode("utf-8", "replace").translate(_CLASSES)
+
+
+def collapse(classes: bytes) -> bytes:
+    """Signature of a head."""
+    for run, one in _HALVINGS:
+        classes = classes.replace(run, one)
+    return classes[:SIGNATURE]
+
+
 def signature(line: str) -> bytes:
     """Collapsed character classes of the head of a line."""
-    x = line[:HEAD].encode("utf-8", "replace").translate(_CLASSES)
-    for run, one in _HALVINGS:
-        x = x.replace(run, one)
-    return x[:SIGNATURE]
+    return collapse(head(line))
 
 
 class Found(NamedTuple):

@@ -21,6 +21,8 @@ from strataline.functions import layouts as L
 
 #: Most signatures that are broadcast (about 40 bytes each).
 SIGNATURE_BOUND = 250_000
+#: Heads of lines a worker remembers.
+HEADS = 300_000
 
 #: Places a task remembers to drop copies of a line before the shuffle.
 COMBINED = 200_000
@@ -44,9 +46,13 @@ def text_lines(lines: DataFrame) -> DataFrame:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
+    heads: set[bytes] = set()  # many lines share a head, many heads a signature
     for batch in batches:
-        new = set(map(L.signature, batch.column(0).to_pylist())) - seen
-        if len(seen) < 1_000_000:
+        fresh = set(map(L.head, batch.column(0).to_pylist())) - heads
+        if len(heads) < HEADS:
+            heads |= fresh
+        new = set(map(L.collapse, fresh)) - seen
+        if len(seen) < HEADS:
             seen |= new
         if new:
             yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary())], ["signature"])
@@ -64,19 +70,25 @@ def signature_rules(lines: DataFrame) -> DataFrame:
     return sigs.mapInArrow(_resolve, "signature binary, rule int")
 
 
-def _broadcast_rules(lines: DataFrame):
+def broadcast_rules(lines: DataFrame):
     rows = signature_rules(lines).limit(SIGNATURE_BOUND + 1).toArrow()
     known = dict(zip(rows["signature"].to_pylist(), rows["rule"].to_pylist())) if rows.num_rows <= SIGNATURE_BOUND else {}
     return lines.sparkSession.sparkContext.broadcast(known)
 
 
-class _Rules(dict):
-    """The broadcast rules; a signature that isn't among them is resolved here."""
+class Rules(dict):
+    """Rule of a line's head: by the broadcast rule of its signature, remembered for the head; a signature that
+    isn't among the broadcast ones is resolved here."""
 
-    def __missing__(self, sig: bytes) -> int:
-        if len(self) > 4 * SIGNATURE_BOUND:
+    def __init__(self, known: dict[bytes, int]):
+        self.known = known
+
+    def __missing__(self, head: bytes) -> int:
+        if len(self) > HEADS:
             self.clear()
-        out = self[sig] = L.resolve(sig)
+        sig = L.collapse(head)
+        rule = self.known.get(sig)
+        out = self[head] = L.resolve(sig) if rule is None else rule
         return out
 
 
@@ -87,8 +99,8 @@ def _hash(text: str) -> int:
 
 def _parser(known, times: bool, fields: bool, messages: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, seen = _Rules(known.value), set()
-        signature, extract, canonical = L.signature, L.extract, L.canonical
+        rules, seen = Rules(known.value), set()
+        head, extract, canonical = L.head, L.extract, L.canonical
         for batch in batches:
             rid, num = batch.column(0), batch.column(1)
             keep, found, hashes = [], [], []
@@ -99,7 +111,7 @@ def _parser(known, times: bool, fields: bool, messages: bool):
                 if len(seen) >= COMBINED:
                     seen.clear()
                 seen.add(place)
-                rule = rules[signature(text)]
+                rule = rules[head(text)]
                 if rule < 0:
                     if fields:
                         keep.append(i)
@@ -146,4 +158,4 @@ def parse_lines(lines: DataFrame, times: bool = False, fields: bool = True, mess
     gives no rows.
     """
     text = text_lines(lines)
-    return text.mapInArrow(_parser(_broadcast_rules(lines), times, fields, messages), PARSED)
+    return text.mapInArrow(_parser(broadcast_rules(lines), times, fields, messages), PARSED)
