@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import layouts as L
 from strataline.operators.boundaries import is_marker
-from strataline.operators.parsing import _broadcast_rules, _Rules, text_lines
+from strataline.operators.parsing import Rules, broadcast_rules, text_lines
 from strataline.session import CHUNK_LINES, materialize, small
 
 #: Lines in a packed row.
@@ -35,13 +35,13 @@ OPENS, MARKER, BLANK = 1, 2, 4
 
 def _measure(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = _Rules(known.value)
+        rules = Rules(known.value)
         for b in batches:
             texts = b.column(2).to_pylist()
             size = np.fromiter(((len(x) + 3) // 4 for x in texts), np.int64, len(texts))
             flags = np.zeros(len(texts), np.int8)
             for i, x in enumerate(texts):
-                rule = rules[L.signature(x)]
+                rule = rules[L.head(x)]
                 f = OPENS if rule >= 0 and L.extract(rule, x).kind in (L.START, L.JUL, L.JOPEN) else 0
                 s = x.strip()
                 if not s:
@@ -56,7 +56,7 @@ def _measure(known):
 
 def measured(lines: DataFrame) -> DataFrame:
     """``report_id, line_number, size, flags`` of lines with content."""
-    return text_lines(lines).mapInArrow(_measure(_broadcast_rules(lines)), "report_id bigint, line_number bigint, size bigint, flags tinyint")
+    return text_lines(lines).mapInArrow(_measure(broadcast_rules(lines)), "report_id bigint, line_number bigint, size bigint, flags tinyint")
 
 
 def packed(lines: DataFrame) -> DataFrame:
