@@ -79,7 +79,7 @@ def write_pages(spark, paged: DataFrame, context: DataFrame, root: str) -> DataF
 
     One directory per page; queries without a hit have none.
     """
-    rows = paged.join(context.withColumnRenamed("line_number", "line_number"), ["report_id", "line_number"])
+    rows = paged.join(context, ["report_id", "line_number"])
     rows.repartition("query_name", "part").sortWithinPartitions("query_name", "part", "report_id", "line_number").write.mode("overwrite").partitionBy("query_name", "part").json(f"{root}/context")
     meta = page_summary(paged)
     order = Window.partitionBy("query_name").orderBy("part", "report_id", "line_number")

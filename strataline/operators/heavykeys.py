@@ -47,14 +47,13 @@ def number_hits(hits: DataFrame, name: str = "hits") -> DataFrame:
 def chunk_states(numbered: DataFrame, chunk: int = KEY_CHUNK) -> DataFrame:
     """State of each chunk of each key: cut at every ``chunk``-th ordinal and where a partition ends."""
     starts = (F.col("hit_no") - 1) % chunk == 0
-    ends = lambda pick, c: pick(c, "hit_no")
     return numbered.groupBy("key_name", "part", F.floor((F.col("hit_no") - 1) / F.lit(chunk)).cast("bigint").alias("chunk")).agg(
         F.count("*").alias("n"),
         F.count_if(~F.col("same_report") | starts).alias("reports"),
-        ends(F.min_by, "report_id").alias("first_report"),
-        ends(F.min_by, "line_number").alias("first_line"),
-        ends(F.max_by, "report_id").alias("last_report"),
-        ends(F.max_by, "line_number").alias("last_line"),
+        F.min_by("report_id", "hit_no").alias("first_report"),
+        F.min_by("line_number", "hit_no").alias("first_line"),
+        F.max_by("report_id", "hit_no").alias("last_report"),
+        F.max_by("line_number", "hit_no").alias("last_line"),
     )
 
 
