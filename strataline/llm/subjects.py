@@ -10,9 +10,9 @@ The terms: a curated core in English, and terms of one to three words curated fr
 documents by their support and by how purely they stand with one subject (this gives the other
 languages and turns of phrase).  They are fitted twice: on the labelled documents, then on these and on
 unlabelled ones that the first terms give exactly one subject, which brings in terms that stand
-beside known ones.  Only the fit uses samples, of at most about ``SAMPLE`` documents of either kind
-drawn by a hash of their ids; scoring covers every document whole.  Terms are matched by one
-automaton over all of them.
+beside known ones.  Only the labelled documents of the fit are a sample, of at most about ``SAMPLE``
+drawn by a hash of their ids; the second fit and scoring cover every document whole.  Sentences are taken
+out once and written.  Terms are matched by one automaton over all of them.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from strataline.functions import layouts as L
 from strataline.session import materialize, small
 
-#: Labelled documents the terms are fitted on, and unlabelled ones, at most (about) of each.
+#: Labelled documents the terms are fitted on, at most (about).
 SAMPLE = 30_000
-#: Documents of the sample a term must stand in, and the share of these that must be of one subject.
+#: Documents of the fit a term must stand in, and the share of these that must be of one subject.
 SUPPORT, PURITY = 3, 0.75
 #: Weight of a sentence's terms from which it treats a subject.
 ENOUGH = 1.0
@@ -114,24 +114,39 @@ def clean_labels(labels: DataFrame) -> DataFrame:
     )
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of the batches by term and subject; combined here, so that little is shuffled."""
-    counts: Counter = Counter()
+def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their own sentences, one a line, in place of the text."""
+    for b in batches:
+        own = ["\n".join(map(" ".join, own_sentences(text))) for text in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.string())], ["doc_id", "own"])
+
+
+def _split(own: str) -> list[list[str]]:
+    return [s.split(" ") for s in own.split("\n")] if own else []
+
+
+def _counted(documents: Iterator[tuple[list[list[str]], str]]) -> Iterator[pa.RecordBatch]:
+    """Documents, given as sentences and subject, by term and subject; combined here, so that little is shuffled."""
+    counts: defaultdict[str, Counter] = defaultdict(Counter)
 
     def flush():
-        terms, subjects = zip(*counts) if counts else ((), ())
-        out = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(subjects, pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "subject", "n"])
+        subjects = [s for s, c in counts.items() for _ in range(len(c))]
+        terms = [t for c in counts.values() for t in c]
+        n = [k for c in counts.values() for k in c.values()]
         counts.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(subjects, pa.string()), pa.array(n, pa.int64())], ["term", "subject", "n"])
 
-    for b in batches:
-        for text, subject in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            counts.update((t, subject) for t in terms_of(own_sentences(text)))
-            if len(counts) > 500_000:
-                yield flush()
+    for sentences, subject in documents:
+        counts[subject].update(terms_of(sentences))
+        if sum(map(len, counts.values())) > 500_000:
+            yield flush()
     yield flush()
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _counted((_split(own), subject) for b in batches for own, subject in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+
+
 def _sampled(df: DataFrame, n: int, sample: int) -> DataFrame:
     """About ``sample`` of the ``n`` rows of ``df``, by a hash of their ids."""
     keep = min(1_000_000, 1_000_000 * sample // max(n, 1))
@@ -139,58 +154,57 @@ def _sampled(df: DataFrame, n: int, sample: int) -> DataFrame:
 
 
 def _guesser(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def guessed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[str]], str]]:
         auto = automaton(shared.value)
         for b in batches:
-            texts, subjects = [], []
-            for text in b.column(0).to_pylist():
-                treated = [s for s, x in shares(text, auto).items() if x >= SHARE]
+            for own in b.column(0).to_pylist():
+                sentences = _split(own)
+                treated = [s for s, x in shares(sentences, auto).items() if x >= SHARE]
                 if len(treated) == 1:
-                    texts.append(text)
-                    subjects += treated
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(subjects, pa.string())], ["text", "subject"])
+                    yield sentences, treated[0]
 
-    return run
+    return lambda batches: _counted(guessed(batches))
 
 
-def curate(texts: DataFrame, total: int) -> dict[str, tuple[str, float]]:
-    """Term -> (subject, weight) from ``texts(text, subject)`` and the core."""
-    counts = texts.mapInArrow(_counted, "term string, subject string, n bigint").groupBy("term", "subject").agg(F.sum("n").alias("n"))
+def curate(counts: DataFrame, total: int) -> dict[str, tuple[str, float]]:
+    """Term -> (subject, weight) from ``counts(term, subject, n)`` of ``total`` documents and the core."""
     best = (
-        counts.groupBy("term")
+        counts.groupBy("term", "subject")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("term")
         .agg(F.sum("n").alias("all"), F.max(F.struct("n", "subject")).alias("top"))
         .select("term", "all", F.col("top.n").alias("n"), F.col("top.subject").alias("subject"))
         .where(f"n >= {SUPPORT} and n >= {PURITY} * all and subject <> 'none'")
     )
-    found = {r.term: (r.subject, r.n, r.all) for r in best.collect()}  # bounded by the sample
+    found = materialize(best, "terms")
+    # a term's own part says it already
+    w = F.split("term", " ")
+    inner = F.array(*[F.get(w, F.lit(k)) for k in range(3)], *[F.concat_ws(" ", F.get(w, F.lit(k)), F.get(w, F.lit(k + 1))) for k in range(2)])
+    parts = found.select("term", F.explode(inner).alias("part")).where("part <> term")
+    said = parts.join(found.select(F.col("term").alias("part")), "part", "left_semi").select("term")
     weights: dict[str, tuple[str, float]] = {}
-    for term, (subject, hits, every) in found.items():
-        w = term.split()
-        inner = (" ".join(w[a:z]) for a in range(len(w)) for z in range(a + 1, len(w) + 1) if z - a < len(w))
-        if any(x in found for x in inner):  # its own part says it already
-            continue
-        sure = (hits + 1) / (every + 2)
-        rare = math.log(1 + total / every) / math.log(1 + total)
-        weights[term] = (subject, 2 * sure * (0.5 + rare))
+    for r in found.join(said, "term", "left_anti").collect():  # the vocabulary, not the documents
+        sure = (r["n"] + 1) / (r["all"] + 2)
+        rare = math.log(1 + total / r["all"]) / math.log(1 + total)
+        weights[r["term"]] = (r["subject"], 2 * sure * (0.5 + rare))
     for subject, terms in CORE.items():
         for term in terms.split(", "):
             weights.setdefault(term, (subject, 2.0))
     return weights
 
 
-def fit_terms(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[str, float]]:
-    """Terms from the core, from at most about ``sample`` labelled documents of one subject and from as many unlabelled
-    ones that these give one subject."""
+def fit_terms(own: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[str, float]]:
+    """Terms from the core, from at most about ``sample`` labelled documents of one subject and from all unlabelled
+    ones that these give one subject; ``own(doc_id, own)`` has the documents' sentences."""
+    kind = "term string, subject string, n bigint"
     named = clean_labels(labels)
     per_doc = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("subject").alias("subject")).where("n = 1").select("doc_id", "subject")
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
-    n, every = per_doc.count(), texts.count()
-    told = texts.join(small(_sampled(per_doc, n, sample)), "doc_id").select("text", "subject")
+    n, every = per_doc.count(), own.count()
+    told = materialize(own.join(small(_sampled(per_doc, n, sample)), "doc_id").select("own", "subject").mapInArrow(_told, kind), "told")
     total = max(min(n, sample), 2)
-    shared = documents.sparkSession.sparkContext.broadcast(curate(told, total))
-    others = _sampled(texts, every, sample).join(small(named.select("doc_id").distinct()), "doc_id", "left_anti").select("text")
-    guessed = others.mapInArrow(_guesser(shared), "text string, subject string")
-    return curate(told.unionByName(guessed), total + min(every, sample))
+    shared = own.sparkSession.sparkContext.broadcast(curate(told, total))
+    others = own.join(small(named.select("doc_id").distinct()), "doc_id", "left_anti").select("own")
+    return curate(told.unionByName(others.mapInArrow(_guesser(shared), kind)), total + every)
 
 
 def automaton(weights: dict[str, tuple[str, float]]):
@@ -201,9 +215,8 @@ def automaton(weights: dict[str, tuple[str, float]]):
     return auto
 
 
-def shares(text: str, auto) -> dict[str, float]:
+def shares(sentences: list[list[str]], auto) -> dict[str, float]:
     """Share of a document's own sentences that treat each subject."""
-    sentences = own_sentences(text)
     treated: Counter = Counter()
     for w in sentences:
         weight: defaultdict = defaultdict(float)
@@ -221,8 +234,8 @@ def _scorer(shared):
         auto = automaton(shared.value)
         for b in batches:
             ids, subjects, values = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for s, x in shares(text, auto).items():
+            for doc, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for s, x in shares(_split(own), auto).items():
                     ids.append(doc)
                     subjects.append(s)
                     values.append(x)
@@ -258,7 +271,8 @@ def document_subjects(documents: DataFrame, labels: DataFrame, sample: int = SAM
     may be repeated, misspelt in case and white space, or null.  Without labels the core terms and a
     quarter of the sentences decide.  Empty tables give no rows; extra columns are ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(fit_terms(documents, labels, sample))
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    scored = materialize(texts.mapInArrow(_scorer(shared), "doc_id bigint, subject string, share double"), "shares")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
+    own = materialize(texts.mapInArrow(_owned, "doc_id bigint, own string"), "own")
+    shared = documents.sparkSession.sparkContext.broadcast(fit_terms(own, labels, sample))
+    scored = materialize(own.where("doc_id is not null").mapInArrow(_scorer(shared), "doc_id bigint, subject string, share double"), "shares")
     return scored.where(F.col("share") >= calibrate(scored, labels)).groupBy("doc_id", "subject").agg(F.max("share").alias("share"))

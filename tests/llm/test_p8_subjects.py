@@ -2,7 +2,7 @@
 
 import random
 
-from strataline.llm.subjects import clean_labels, document_subjects, own_sentences
+from strataline.llm.subjects import _owned, clean_labels, document_subjects, fit_terms, own_sentences
 
 LABELS = "doc_id long, subject string, labeller string"
 DOCS = "doc_id long, text string, subject string"
@@ -47,3 +47,11 @@ def test_without_labels_the_core_decides(spark):
 def test_labels_are_cleaned(spark):
     df = spark.createDataFrame([(1, " Power\t", "a"), (1, "POWER", None), (2, None, "a"), (None, "power", "a"), (3, " ", "b")], LABELS)
     assert [tuple(r) for r in clean_labels(df).collect()] == [(1, "power")]
+
+
+def test_every_unlabelled_document_is_fitted(spark):
+    docs = [(i, "The page cache grew. The swap area is full. Nothing came of it.", "x") for i in range(200)]
+    docs += [(1000 + i, "The page cache grew. Zorvex was busy. Nothing came of it.", "x") for i in range(3)]
+    own = spark.createDataFrame(docs, DOCS).select("doc_id", "text").mapInArrow(_owned, "doc_id long, own string")
+    labels = spark.createDataFrame([(i, "none", "a") for i in range(2000, 2100)], LABELS)
+    assert fit_terms(own, labels, sample=1)["zorvex"][0] == "memory"  # whatever a draw of one in 200 holds
