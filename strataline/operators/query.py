@@ -189,6 +189,14 @@ def keyword_lines(lines: DataFrame, keyword: str) -> DataFrame:
     return keyword_index(lines, [keyword]).select("report_id", "line_number")
 
 
+def _any_of(patterns) -> str:
+    """One pattern for any of them; if all begin with a letter, they are tried only where one of these stands."""
+    each = "|".join(f"(?:{p})" for p in patterns)
+    if all(re.match(r"[A-Za-z](?![?*{])", p) and "|" not in p for p in patterns):
+        return f"(?iud)(?=[{''.join(sorted({p[0].lower() for p in patterns}))}])(?:{each})"
+    return f"(?iud){each}"
+
+
 def tagged(lines: DataFrame, rules) -> DataFrame:
     """``report_id, line_number, domain, focus, threshold_name, value`` of lines a knowledge rule holds for.
 
@@ -197,10 +205,9 @@ def tagged(lines: DataFrame, rules) -> DataFrame:
     content = F.col("content")
     kind = "struct<domain:string,focus:string,threshold_name:string,value:double>"
     number = F.regexp_extract(content, r"(\d+(?:\.\d+)?)\s*(?:ms|frames|count)", 1).try_cast("double")
-    each = []
+    by_patterns: dict[tuple, list[Column]] = {}  # rules of the same patterns try them once
     for domain, focus, patterns, name, least in rules:
-        match = content.rlike("(?iud)" + "|".join(f"(?:{p})" for p in patterns))
-        if name:
-            match = match & (number > F.lit(float(least)))
-        each.append(F.when(match, F.struct(F.lit(domain).alias("domain"), F.lit(focus).alias("focus"), F.lit(name).cast("string").alias("threshold_name"), (number if name else F.lit(None).cast("double")).alias("value")).cast(kind)))
-    return lines.select("report_id", "line_number", F.explode(F.array_compact(F.array(*each))).alias("_t")).select("report_id", "line_number", "_t.*")
+        tag = F.struct(F.lit(domain).alias("domain"), F.lit(focus).alias("focus"), F.lit(name).cast("string").alias("threshold_name"), (number if name else F.lit(None).cast("double")).alias("value")).cast(kind)
+        by_patterns.setdefault(tuple(patterns), []).append(F.when(number > F.lit(float(least)), tag) if name else tag)
+    each = F.array(*[F.when(content.rlike(_any_of(patterns)), F.array(*tags)) for patterns, tags in by_patterns.items()])
+    return lines.select("report_id", "line_number", F.explode(F.array_compact(F.flatten(F.array_compact(each)))).alias("_t")).select("report_id", "line_number", "_t.*")

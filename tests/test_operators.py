@@ -232,3 +232,21 @@ def test_materialize_and_small(spark):
     assert df.count() == 5 and "parquet" in df.inputFiles()[0]
     assert release(spark) == 1 and release(spark) == 0
     assert "hints" not in str(small(df, 0)._jdf.queryExecution().logical()) and "broadcast" in str(small(df)._jdf.queryExecution().logical()).lower()
+
+
+def test_knowledge_has_every_group_and_threshold_of_the_survey(spark):
+    groups = {}
+    for area, focus, patterns, _, _ in catalog.KNOWLEDGE:
+        groups.setdefault(area, {})[focus] = len(patterns)
+    assert {a: sorted(g.values()) for a, g in groups.items()} == {
+        "system_services": [4, 4, 5], "kernel": [4, 4, 4], "native_services": [3, 4], "binder": [3, 4], "performance": [3, 3, 3, 4],
+        "background_control": [4, 4, 4], "animation_jank": [3, 3, 3, 3], "power_consumption": [3, 3, 4],
+    }
+    assert {n: v for *_, n, v in catalog.KNOWLEDGE if n} == {"cold_start": 5000, "warm_start": 2000, "hot_start": 500, "jank_count": 5, "serious_jank": 100, "slow_binder": 50, "very_slow": 200, "lock_wait": 100}
+    lines = frame(spark, {1: ["pm_runtime", "Displayed com.x/.Main: +2600ms", "waiting to lock <0x1> 120 ms", "waiting to lock <0x1>", "binder call duration 250 ms", "Radio active"]})
+    got = rows(query.tagged(lines, catalog.KNOWLEDGE).select("line_number", "domain", "focus", "threshold_name", "value"), "line_number", "threshold_name")
+    p = "performance"
+    assert got == [
+        (1, "kernel", "power", None, None), (2, p, "launch", None, None), (2, p, "launch", "hot_start", 2600.0), (2, p, "launch", "warm_start", 2600.0), (3, p, "locks", None, None),
+        (3, p, "locks", "lock_wait", 120.0), (4, p, "locks", None, None), (5, p, "binder", "slow_binder", 250.0), (5, p, "binder", "very_slow", 250.0), (6, "power_consumption", "battery", None, None),
+    ]
