@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,14 +58,25 @@ def record_blocks(lines: DataFrame, kinds=BLOCK_KINDS) -> DataFrame:
     return grouped.select("report_id", pick(0).alias("type"), "start_line", end.alias("end_line"), pick(1).alias("priority"))
 
 
+def _marked(pattern: str) -> bool:
+    """Whether all that a pattern matches surely begins with one of ``= - # *``."""
+    if re.search(r"\\[()|]|\[[^\]]*[()|]", pattern):  # parentheses that aren't groups
+        return False
+    branches = re.sub(r"\([^()]*\)", "()", pattern).split("|")
+    return all(re.match(r"\^(?:[=\-#]|\\\*)(?![?*]|\{0|\{,)", b) for b in branches)
+
+
 def record_types(lines: DataFrame, patterns=None) -> DataFrame:
     """``report_id, record_type, priority, category, start_line, end_line`` by start and end patterns: a record ends at the
     first line after its start that matches its end, or with the report."""
     rows = patterns or record_patterns()
     content = F.col("content")
-    side = lambda j: F.array_compact(F.array(*[F.when(content.rlike(like_python(r[j])), F.lit(r[0])) for r in rows]))
-    # only lines that begin like a marker can match; the rest never reach the patterns
-    marks = lines.where(F.substring(content, 1, 1).isin("=", "-", "#", "*")).select("report_id", "line_number", side(3).alias("starts"), side(4).alias("ends"))
+    begins = F.substring(content, 1, 1).isin("=", "-", "#", "*")
+    found = lambda p: begins & content.rlike(like_python(p)) if _marked(p) else content.rlike(like_python(p))
+    side = lambda j: F.array_compact(F.array(*[F.when(found(r[j]), F.lit(r[0])) for r in rows]))
+    # where every pattern begins like a marker, the other lines never reach them
+    tried = lines.where(begins) if all(_marked(p) for r in rows for p in r[3:5]) else lines
+    marks = tried.select("report_id", "line_number", side(3).alias("starts"), side(4).alias("ends"))
     starts = marks.select("report_id", F.explode("starts").alias("record_type"), "line_number", F.lit(True).alias("_start"))
     ends = marks.select("report_id", F.explode("ends").alias("record_type"), "line_number", F.lit(False).alias("_start"))
     later = Window.partitionBy("report_id", "record_type").orderBy("line_number").rangeBetween(1, Window.unboundedFollowing)

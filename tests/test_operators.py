@@ -250,3 +250,11 @@ def test_knowledge_has_every_group_and_threshold_of_the_survey(spark):
         (1, "kernel", "power", None, None), (2, p, "launch", None, None), (2, p, "launch", "hot_start", 2600.0), (2, p, "launch", "warm_start", 2600.0), (3, p, "locks", None, None),
         (3, p, "locks", "lock_wait", 120.0), (4, p, "locks", None, None), (5, p, "binder", "slow_binder", 250.0), (5, p, "binder", "very_slow", 250.0), (6, "power_consumption", "battery", None, None),
     ]
+
+
+def test_record_types_end_at_lines_that_are_no_markers(spark):
+    lines = frame(spark, {1: ["***Battery log***", "level 5", "", "more", "------ SYSTEM LOG", "Begin x", "Done", "last"]})
+    got = rows(blocks.record_types(lines).select("record_type", "start_line", "end_line"), "record_type")
+    assert ("battery_log", 1, 3) in got
+    mine = blocks.record_types(lines, [("mine", "LOW", "own", "^Begin", "^Done")])
+    assert rows(mine.select("record_type", "start_line", "end_line"), "start_line") == [("mine", 6, 7)]
