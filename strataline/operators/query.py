@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,27 +140,46 @@ def by_priority(df: DataFrame, priorities=("CRITICAL", "HIGH", "MEDIUM", "LOW"))
     return df.withColumn("priority_rank", F.when(at == 0, len(priorities) + 1).otherwise(at).cast("int"))
 
 
-def index_query(keyword: str, enhanced: DataFrame, custom: DataFrame, use_preset: bool = True, use_custom: bool = True) -> DataFrame:
+def _found_in(keyword: str, patterns) -> list[str]:
+    """The patterns that are found in a keyword; those that don't compile aren't."""
+    out = []
+    for p in patterns:
+        try:
+            if p and re.search(p, keyword, re.I):
+                out.append(p)
+        except re.error:
+            continue
+    return out
+
+
+def _finder(keyword: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_found_in(keyword, b.column(0).to_pylist()), pa.string())], ["pattern"])
+
+    return run
+
+
+def index_query(keyword: str, enhanced: DataFrame, custom: DataFrame, use_preset: bool = True, use_custom: bool = True, bound: int = 10_000) -> DataFrame:
     """``source, query_name, report_id, line_number`` of a keyword in both indexes; matches aren't made distinct.
 
     The custom index answers with its queries of type keyword whose pattern equals the keyword, case aside,
-    and with those of type regex whose pattern is found *in the keyword*.
+    and with those of type regex whose pattern is found *in the keyword*; more than ``bound`` patterns are searched by the workers.
     """
     word = F.lit(keyword.lower())
     parts = []
     if use_custom:
-        stored = custom.where("type = 'regex'").select("pattern").distinct().limit(10_000).collect()
-        reverse = []
-        for r in stored:
-            try:
-                if r.pattern and re.search(r.pattern, keyword, re.I):
-                    reverse.append(r.pattern)
-            except re.error:
-                continue
+        stored = custom.where("type = 'regex'").select("pattern").distinct()
+        few = stored.limit(bound + 1).collect()
         match = (F.col("type") == "keyword") & (F.lower("pattern") == word)
-        if reverse:
+        answers = custom
+        if len(few) > bound:
+            found = stored.mapInArrow(_finder(keyword), "pattern string").withColumn("_found", F.lit(True))
+            answers = custom.join(found, "pattern", "left")
+            match = match | ((F.col("type") == "regex") & F.col("_found"))
+        elif reverse := _found_in(keyword, [r.pattern for r in few]):
             match = match | ((F.col("type") == "regex") & F.col("pattern").isin(*reverse))
-        parts.append(custom.where(match).select(F.lit("custom").alias("source"), "query_name", "report_id", F.explode("line_numbers").alias("line_number")).where("line_number is not null"))
+        parts.append(answers.where(match).select(F.lit("custom").alias("source"), "query_name", "report_id", F.explode("line_numbers").alias("line_number")).where("line_number is not null"))
     if use_preset:
         hits = enhanced.where((F.lower("keyword") == word) & F.col("line_number").isNotNull())
         parts.append(hits.select(F.lit("preset").alias("source"), F.lit(None).cast("string").alias("query_name"), "report_id", "line_number"))

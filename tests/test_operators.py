@@ -258,3 +258,10 @@ def test_record_types_end_at_lines_that_are_no_markers(spark):
     assert ("battery_log", 1, 3) in got
     mine = blocks.record_types(lines, [("mine", "LOW", "own", "^Begin", "^Done")])
     assert rows(mine.select("record_type", "start_line", "end_line"), "start_line") == [("mine", 6, 7)]
+
+
+def test_index_query_beyond_the_bound(spark):
+    custom = spark.createDataFrame([("q", "regex", p, 1, [n, None]) for n, p in enumerate(["slow", "s.ow", "fast", "(", "l", None])] + [("k", "keyword", "SLOW", 1, [9])], "query_name string, type string, pattern string, report_id long, line_numbers array<long>")
+    enhanced = spark.createDataFrame([("slow", 1, 7)], "keyword string, report_id long, line_number long")
+    for bound in (1, 100):
+        assert [r[0] for r in rows(query.index_query("slow", enhanced, custom, bound=bound).select("line_number"), "line_number")] == [0, 1, 4, 7, 9]
