@@ -127,14 +127,15 @@ def leaked(doc: list[str], items: list[tuple[int, list[str]]], auto) -> list[int
     tried: set[tuple] = set()
     for end, (length, where) in hits:
         p = bisect_right(starts, end - length + 2) - 1
-        around = None
+        around: dict[int, tuple] = {}
         for i, q in where:
             if i in found:
                 continue
             w = items[i][1]
-            if around is None:
-                around = tuple(doc[max(0, p - 2 * len(w)) : p + 2 * len(w)])
-            key = (i, q, around)  # the same words around the same piece were tried before
+            n = 2 * len(w)
+            if n not in around:
+                around[n] = (min(p, n), tuple(doc[max(0, p - n) : p + n]))
+            key = (i, q, around[n])  # the same words around the same piece at the same place of these were tried before
             if key in tried:
                 continue
             tried.add(key)

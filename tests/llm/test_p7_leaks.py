@@ -73,3 +73,11 @@ def test_rows(spark):
     assert sorted(map(tuple, few.collect())) == [(1, 7), (5, 7), (6, 7)]
     none = spark.createDataFrame([], "item_id long, suite string, text string")
     assert leaks(spark.createDataFrame(docs, schema), none).count() == 0
+
+
+def test_a_passage_whose_pieces_stood_before():
+    item = [f"w{i}" for i in range(54)]
+    doc = [x for q in range(RUN - PIECE + 1) for x in [*item[q : q + PIECE], *(f"n{q}{k}" for k in range(5))]]
+    items = [(1, item)]
+    assert leaked(doc, items, _automaton(items)) == []
+    assert leaked(doc + item[:RUN], items, _automaton(items)) == [1]
