@@ -13,6 +13,8 @@ from strataline.functions import layouts as L
 
 EPOCH_DAY = datetime(1970, 1, 1)
 QUARTER = 900_000_000  # zones change at full quarters of an hour
+#: Microseconds from 1970 to the first and last years (5 and 9892) whose dates have a zone's offset; beyond them nothing is an instant.
+FIRST, LAST = -62_000_000_000_000_000, 250_000_000_000_000_000
 
 _zones: dict[str, ZoneInfo | None] = {}
 _offsets: dict[tuple, int] = {}
@@ -33,8 +35,10 @@ def local_offset(tz: str, naive: int, abbr: str | None = None) -> int | None:
 
     A local time that occurs twice is the earlier instant, unless ``abbr`` is the
     abbreviation of the later one.  A time skipped in spring is read with the offset
-    before the change.
+    before the change.  None where the zone isn't one or the time beyond the years it knows.
     """
+    if not FIRST <= naive <= LAST:
+        return None
     key = (tz, naive // QUARTER, abbr)
     if key not in _offsets:
         if len(_offsets) > 500_000:
@@ -62,7 +66,7 @@ _years: dict[tuple, int | None] = {}
 
 def _yearless(naive: int, tz: str | None, offset: int | None, abbr: str | None, captured: int | None) -> int | None:
     """The latest year that isn't after ``captured``."""
-    if captured is None or (offset is None and not tz):
+    if captured is None or (offset is None and not tz) or not FIRST <= captured <= LAST:
         return None
     in_day = naive % 86_400_000_000
     md = EPOCH_DAY + timedelta(days=naive // 86_400_000_000)
@@ -80,7 +84,7 @@ def readings(clock, micros, swapped, offset, abbr, tz, boot, captured) -> tuple[
     if clock == L.EPOCH:
         return [micros], [-1]
     if clock == L.BOOT:
-        return ([boot + micros], [-1]) if boot is not None else ([], [])
+        return ([boot + micros], [-1]) if boot is not None and FIRST <= boot <= LAST else ([], [])
     out, orders = [], []
     for order, naive in ((0, micros), (1, swapped)):
         if naive is None:

@@ -57,9 +57,17 @@ _CLASSES = bytes(_CLASSES)
 _HALVINGS = [(c * n, c) for n in (8, 8, 4, 2, 2, 2) for c in (b"a", b"9", b" ")]
 
 
+#: What counts as white space at the beginning of a line: the characters of that class.
+_BLANKS = "".join(chr(c) for c in range(33) if _CLASSES[c] == 32)
+
+
 def head(line: str) -> bytes:
-    """Character classes of the head of a line, not yet collapsed."""
-    return line[:HEAD].encode("utf-8", "replace").translate(_CLASSES)
+    """Character classes of the head of a line, not yet collapsed but for white space before it, which may be
+    of any length and would push the head out of the part that is looked at."""
+    start = line[:HEAD]
+    if start[:1] in _BLANKS:
+        start = " " + line.lstrip(_BLANKS)[: HEAD - 1] if start else ""
+    return start.encode("utf-8", "replace").translate(_CLASSES)
 
 
 def collapse(classes: bytes) -> bytes:
@@ -125,6 +133,10 @@ def _stamp(y, m, d, h, mi, s, frac, swap: bool):
     return None if a is None and b is None else (a, b)
 
 
+#: Longest numbers of seconds or of smaller units that are read; longer ones are no times.
+_SECONDS_DIGITS, _EPOCH_DIGITS = 11, 20
+
+
 def _offset(text: str) -> int:
     """+hh, +hhmm, +hh:mm or Z in seconds."""
     if text in ("Z", "z"):
@@ -136,9 +148,9 @@ def _offset(text: str) -> int:
 def _epoch(text: str) -> int | None:
     """Seconds, milli-, micro- or nanoseconds since 1970, told apart by their size; in microseconds."""
     whole, _, frac = text.partition(".")
-    if not whole.isdigit() or (frac and not frac.isdigit()):
-        return None
     n = len(whole)
+    if n > _EPOCH_DIGITS or not whole.isdecimal() or (frac and not frac.isdecimal()):
+        return None
     if n <= 11:
         return int(whole) * 1_000_000 + (int(frac[:6].ljust(6, "0")) if frac else 0)
     if n <= 14:
@@ -152,26 +164,28 @@ def _level(word: str) -> int:
 
 _T = r"(\d\d):(\d\d):(\d\d)(?:[.,](\d+))?"
 _rx = re.compile
-_thread = _rx(rf"(\d\d)-(\d\d) {_T} +(?:u\d+ +)?\d+ +\d+ +(?:\d+ +)?([VDIWEF]) (.*?) *:(?: (.*))?$", re.S).match
-_zoned = _rx(rf"(\d{{4}})-(\d\d)-(\d\d) {_T} ([+-]\d\d:?\d\d|Z) +(?:u\d+ +)?\d+ +\d+ +(?:\d+ +)?([VDIWEF]) (.*?) *:(?: (.*))?$", re.S).match
-_brief = _rx(r"([VDIWEF])/(.*?) *\( *\d+\):(?: (.*))?$", re.S).match
+_thread = _rx(rf"(\d\d)-(\d\d) {_T} +(?:u\d+ +)?\d+ +\d+ +(?:\d+ +)?([VDIWEF]) (.*?):(?: (.*))?$", re.S).match
+_zoned = _rx(rf"(\d{{4}})-(\d\d)-(\d\d) {_T} ([+-]\d\d:?\d\d|Z) +(?:u\d+ +)?\d+ +\d+ +(?:\d+ +)?([VDIWEF]) (.*?):(?: (.*))?$", re.S).match
+_brief = _rx(r"([VDIWEF])/(.*?)\( *\d+\):(?: (.*))?$", re.S).match
 _cpu = r"(?:\[\d+: *[^\]]*\] )?"
-_kernel1 = _rx(rf"<(\d)>\[ *(\d+)\.(\d+)\] {_cpu}([^:]+?) *:(?: (.*))?$", re.S).match
-_kernel2 = _rx(rf"\w+ *:(\w+) *: \[ *(\d+)\.(\d+)\] {_cpu}([^:]+?) *:(?: (.*))?$", re.S).match
-_kernel3 = _rx(rf"\[ *(\d+)\.(\d+)\] {_cpu}<(\d)> ([^:]+?) *:(?: (.*))?$", re.S).match
+_kernel1 = _rx(rf"<(\d)>\[ *(\d+)\.(\d+)\] {_cpu}([^:]+):(?: (.*))?$", re.S).match
+_kernel2 = _rx(rf"\w+ *:(\w+) *: \[ *(\d+)\.(\d+)\] {_cpu}([^:]+):(?: (.*))?$", re.S).match
+_kernel3 = _rx(rf"\[ *(\d+)\.(\d+)\] {_cpu}<(\d)> ([^:]+):(?: (.*))?$", re.S).match
 _syslog = _rx(rf"([A-Z][a-z]{{2}}) ( ?\d{{1,2}}) {_T} \S+ ([^\[]+?)\[\d+\]: <(\w+)>(?: (.*))?$", re.S).match
-_piped = _rx(rf"(\d{{4}})-(\d\d)-(\d\d)[T ]{_T}([+-]\d\d:?\d\d|Z)? \| (\w+) *\| (.*?) *\|(?: (.*))?$", re.S).match
+_piped = _rx(rf"(\d{{4}})-(\d\d)-(\d\d)[T ]{_T}([+-]\d\d:?\d\d|Z)? \| (\w+) *\| (.*?)\|(?: (.*))?$", re.S).match
 _dated = _rx(rf"[A-Z][a-z]{{2}} ([A-Z][a-z]{{2}}) ( ?\d{{1,2}}) {_T} (\S+) (\d{{4}}) \[([^\]]+)\] (\w+) -(?: (.*))?$", re.S).match
-_braced = _rx(rf"(?:\x1b\[[\d;]*m)?\[(\d\d)\.(\d\d)\.(\d{{4}}) {_T}\]\[(\w+) *\] \[([^\]]+)\](?: (.*?))?(?:\x1b\[[\d;]*m)?\s*$", re.S).match
+_braced = _rx(rf"(?:\x1b\[[\d;]*m)?\[(\d\d)\.(\d\d)\.(\d{{4}}) {_T}\]\[(\w+) *\] \[([^\]]+)\](?: (.*))?$", re.S).match
+_colour = _rx(r"\x1b\[[\d;]*m$").match
 _classed = _rx(rf"([A-Z][a-z]{{2}}) (\d{{1,2}}), (\d{{4}}) (\d{{1,2}}):(\d\d):(\d\d) ([AP]M) (\S+) \S+\s*$").match
 _levelled = _rx(r"([A-Z]+):(?: (.*))?$", re.S).match
 _sourced = _rx(rf"([VDIWEF])(\d\d)(\d\d) {_T} +\d+ ([^:\]]+):\d+\](?: (.*))?$", re.S).match
-_field = _rx(r'\s+"(\w+)": (.*?),?\s*$', re.S).match
-_pair = _rx(r'(\w+)=("(?:\\.|[^"\\])*"|\S*)').findall
+_field = _rx(r'\s+"(\w+)": (.*)$', re.S).match
+_pair = _rx(r'(?<!\w)(\w++)=("(?:\\.|[^"\\])*+"|\S*)').findall
 _iso = _rx(rf"(\d{{4}})-(\d\d)-(\d\d)T{_T}(Z|[+-]\d\d:?\d\d)?$").match
 _trace = _rx(rf"----- pid \d+ at (\d{{4}})-(\d\d)-(\d\d) {_T}([+-]\d\d:?\d\d|Z)?").match
 _ending = _rx(rf"-{{9,}} .*ending at: (\d{{4}})-(\d\d)-(\d\d) {_T}\s*$").match
 _json = json.JSONDecoder(parse_float=str, parse_int=str).decode
+_surrogate = _rx("[\ud800-\udfff]").sub
 
 
 def _thread_line(s):
@@ -199,25 +213,28 @@ def _brief_line(s):
 
 
 def _boot(sec, frac):
-    return int(sec) * 1_000_000 + int(frac[:6].ljust(6, "0"))
+    """Clock and microseconds of seconds since boot; no time where they are beyond any clock."""
+    if len(sec) > _SECONDS_DIGITS:
+        return NO_TIME, None
+    return BOOT, int(sec) * 1_000_000 + int(frac[:6].ljust(6, "0"))
 
 
 def _kernel1_line(s):
     if not (m := _kernel1(s)) or m[1] not in PRIORITY_LEVEL:
         return None
-    return Found(START, PRIORITY_LEVEL[m[1]], m[4].strip(), m[5], BOOT, _boot(m[2], m[3]))
+    return Found(START, PRIORITY_LEVEL[m[1]], m[4].strip(), m[5], *_boot(m[2], m[3]))
 
 
 def _kernel2_line(s):
     if not (m := _kernel2(s)) or not (lv := _level(m[1])):
         return None
-    return Found(START, lv, m[4].strip(), m[5], BOOT, _boot(m[2], m[3]))
+    return Found(START, lv, m[4].strip(), m[5], *_boot(m[2], m[3]))
 
 
 def _kernel3_line(s):
     if not (m := _kernel3(s)) or m[3] not in PRIORITY_LEVEL:
         return None
-    return Found(START, PRIORITY_LEVEL[m[3]], m[4].strip(), m[5], BOOT, _boot(m[1], m[2]))
+    return Found(START, PRIORITY_LEVEL[m[3]], m[4].strip(), m[5], *_boot(m[1], m[2]))
 
 
 def _syslog_line(s):
@@ -242,11 +259,14 @@ def _dated_line(s):
     if not (t := _stamp(m[8], MONTHS[m[1]], m[2], m[3], m[4], m[5], m[6], False)):
         return None
     zone = m[7]
-    num = zone[0] in "+-" and zone[1:].replace(":", "").isdigit()
+    num = zone[0] in "+-" and zone[1:].replace(":", "").isdecimal()
     return Found(START, lv, m[9].strip(), m[11], LOCAL, t[0], None, _offset(zone) if num else None, None if num else zone)
 
 
 def _braced_line(s):
+    s = s.rstrip()
+    if (k := s.rfind("\x1b[")) >= 0 and _colour(s, k):
+        s = s[:k]
     if not (m := _braced(s)) or not (lv := _level(m[8])):
         return None
     if not (t := _stamp(m[3], m[2], m[1], m[4], m[5], m[6], m[7], True)):
@@ -281,18 +301,26 @@ def _first(o: dict, *names):
     return next((o[n] for n in names if n in o), None)
 
 
+def _plain(v) -> str | None:
+    """Text of a value: text as it is (halves of surrogate pairs replaced), anything else as JSON."""
+    if v is None:
+        return None
+    return _surrogate("\ufffd", v if isinstance(v, str) else json.dumps(v, ensure_ascii=False))
+
+
 def _json_line(s):
     try:
         o = _json(s.strip())
-    except ValueError:
-        return None
-    if not isinstance(o, dict):
+        if not isinstance(o, dict):
+            return None
+        component, message = _plain(_first(o, "tag", "component", "logger")), _plain(_first(o, "msg", "message"))
+    except (ValueError, RecursionError):
         return None
     lv = _level(str(_first(o, "lvl", "level", "severity") or ""))
     if not lv:
         return None
     t = _epoch(str(_first(o, "ts", "time") or ""))
-    return Found(START, lv, _first(o, "tag", "component", "logger"), _first(o, "msg", "message"), EPOCH if t is not None else NO_TIME, t)
+    return Found(START, lv, component, message, EPOCH if t is not None else NO_TIME, t)
 
 
 def _pairs_line(s):
@@ -313,9 +341,9 @@ def _open_line(s):
 
 def _field_line(s):
     """A field of an entry whose object spans lines: its level, component, message or time."""
-    if not (m := _field(s)):
+    if not (m := _field(s.rstrip())):
         return None
-    k, v = m[1], m[2]
+    k, v = m[1], m[2].removesuffix(",")
     text = v[1:-1] if v[:1] == '"' else v
     if k in ("lvl", "level", "severity"):
         return Found(FIELD, _level(text))
@@ -387,19 +415,25 @@ _varying = _rx(
     r"(?:(?<![^=(,:])-)?(?:0x[0-9a-f]+"  # 0x1f
     r"|\d+(?:[.:]\d+)+"  # 1.5, 22:15:04
     r"|(?<![0-9a-z])(?=[a-f]*\d)[0-9a-f]{2,}(?![0-9a-z])"  # 00ab31
-    r"|(?<![0-9a-z])[a-f]{4,}(?![0-9a-z])"  # fade
+    r"|(?<=[#@])[a-f]{4,}(?![0-9a-z])|(?<=id[=:#])[a-f]{4,}(?![0-9a-z])"  # fade, where it is said to be an id
     r"|\d+)"
 ).sub
 _dump = _rx(r"\s*[0-9a-f]{4,}:(?: [0-9a-f]{2})+\s*$", re.I).match
 
 
+#: Longest word that is remembered.
+REMEMBERED = 64
+
+
 class _Words(dict):
     """Canonical form of each word, worked out once per worker while it is remembered."""
 
     def __missing__(self, word: str) -> str:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = _varying("#", word.lower())
+        out = _varying("#", word.lower())
+        if len(word) <= REMEMBERED:
+            if len(self) > 500_000:
+                self.clear()
+            self[word] = out
         return out
 
 
