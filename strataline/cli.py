@@ -47,7 +47,7 @@ def build(spark: SparkSession, reports: str, out: str, config: Config | None = N
     lines = spark.read.parquet(f"{out}/lines")
     markers = config.markers if config and config.markers else MARKERS
     main = sections.detect_sections(lines, markers)
-    patterns = config.subsections if config and config.subsections else catalog.service_subsections()
+    patterns = config.subsections if config and config.subsections else catalog.dump_subsections()
     subs = sections.subsections(lines, patterns)
     save_index(sections.section_tree(sections.union_sections(main, subs), ("position",)), f"{out}/sections")
     save_index(index.keyword_index(lines, catalog.preset_keywords(config)), f"{out}/keywords")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.textnorm import like_python
-from strataline.operators.catalog import record_patterns
+from strataline.operators.catalog import RECORD_TYPES
 from strataline.operators.sections import report_ends
 from strataline.session import CHUNK_LINES, small
 from strataline.sources.lines import running_before
@@ -66,22 +66,25 @@ def _marked(pattern: str) -> bool:
     return all(re.match(r"\^(?:[=\-#]|\\\*)(?![?*]|\{0|\{,)", b) for b in branches)
 
 
-def record_types(lines: DataFrame, patterns=None) -> DataFrame:
-    """``report_id, record_type, priority, category, start_line, end_line`` by start and end patterns: a record ends at the
-    first line after its start that matches its end, or with the report."""
-    rows = patterns or record_patterns()
+def record_types(lines: DataFrame, patterns=RECORD_TYPES) -> DataFrame:
+    """``report_id, record_type, priority, category, start_line, end_line`` by start and end patterns, which are matched from
+    the start of a line: a record ends at the first line after its start that matches its end, or with the report.
+
+    Marks stream by in descending order, so a report with many is no more than sorted.
+    """
     content = F.col("content")
     begins = F.substring(content, 1, 1).isin("=", "-", "#", "*")
-    found = lambda p: begins & content.rlike(like_python(p)) if _marked(p) else content.rlike(like_python(p))
-    side = lambda j: F.array_compact(F.array(*[F.when(found(r[j]), F.lit(r[0])) for r in rows]))
+    whole = lambda p: content.rlike(like_python(f"^(?:{p})"))
+    found = lambda p: begins & whole(p) if _marked(p) else whole(p)
+    side = lambda j: F.array_compact(F.array(*[F.when(found(r[j]), F.lit(r[0])) for r in patterns]))
     # where every pattern begins like a marker, the other lines never reach them
-    tried = lines.where(begins) if all(_marked(p) for r in rows for p in r[3:5]) else lines
+    tried = lines.where(begins) if all(_marked(p) for r in patterns for p in r[3:5]) else lines
     marks = tried.select("report_id", "line_number", side(3).alias("starts"), side(4).alias("ends"))
-    starts = marks.select("report_id", F.explode("starts").alias("record_type"), "line_number", F.lit(True).alias("_start"))
-    ends = marks.select("report_id", F.explode("ends").alias("record_type"), "line_number", F.lit(False).alias("_start"))
-    later = Window.partitionBy("report_id", "record_type").orderBy("line_number").rangeBetween(1, Window.unboundedFollowing)
-    both = starts.unionByName(ends).withColumn("end_line", F.min(F.when(~F.col("_start"), F.col("line_number"))).over(later)).where("_start")
-    pick = lambda j: F.element_at(F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[j])]), F.col("record_type"))
+    each = marks.select("report_id", "line_number", "starts", "ends", F.explode(F.array_union("starts", "ends")).alias("record_type"))
+    is_end = F.array_contains("ends", F.col("record_type"))
+    later = Window.partitionBy("report_id", "record_type").orderBy(F.desc("line_number")).rangeBetween(Window.unboundedPreceding, -1)
+    both = each.withColumn("end_line", F.min(F.when(is_end, F.col("line_number"))).over(later)).where(F.array_contains("starts", F.col("record_type")))
+    pick = lambda j: F.element_at(F.create_map(*[F.lit(x) for r in patterns for x in (r[0], r[j])]), F.col("record_type"))
     return both.join(small(report_ends(lines)), "report_id").select(
         "report_id", "record_type", pick(1).alias("priority"), pick(2).alias("category"), F.col("line_number").alias("start_line"), F.coalesce("end_line", "report_end").alias("end_line")
     )

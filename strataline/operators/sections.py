@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from strataline.functions.textnorm import contains_word, stripped
 from strataline.operators.boundaries import MARKERS, boundaries
@@ -52,11 +56,16 @@ def detect_sections(lines: DataFrame, markers=MARKERS) -> DataFrame:
     return closed(named).select("report_id", "name", "start_line", "end_line", "section_type", "level", F.lit("MEDIUM").alias("priority"), F.lit("unknown").alias("category"))
 
 
+def _holds(content: Column, p: dict) -> Column:
+    held = contains_word(content, p["pattern"])
+    return held & content.rlike(rf"(?iu)\Q{p['pattern']}\E(?!\w|\s+\w)") if p.get("whole") else held
+
+
 def _first_match(content: Column, patterns: list[dict]) -> Column:
     kind = "struct<name:string,pattern:string,priority:string,category:string>"
     each = [
         F.when(
-            contains_word(content, p["pattern"]),
+            _holds(content, p),
             F.struct(F.lit(p.get("name") or p["pattern"]).alias("name"), F.lit(p["pattern"]).alias("pattern"), F.lit(p.get("priority", "MEDIUM")).alias("priority"), F.lit(p.get("category", "unknown")).alias("category")),
         )
         for p in patterns
@@ -67,6 +76,7 @@ def _first_match(content: Column, patterns: list[dict]) -> Column:
 
 def subsections(lines: DataFrame, patterns: list[dict], first: int | None = None, last: int | None = None) -> DataFrame:
     """Level 3 sections where a line holds a pattern (case aside); of several patterns the first in the list counts.
+    A pattern marked ``whole`` must not go on with a word.
 
     Of a range of lines, if given; the last one ends at ``last`` or at 0.
     """
@@ -122,13 +132,33 @@ def union_sections(main: DataFrame, subs: DataFrame) -> DataFrame:
     return both.withColumn("position", F.row_number().over(order).cast("bigint")).drop("_rank")
 
 
-def section_tree(sections: DataFrame, order_by: tuple[str, ...] = ("start_line",), levels: int = 6) -> DataFrame:
-    """``sections`` with ``parent_start``: the nearest earlier section of a smaller level, null at the top."""
-    before = Window.partitionBy("report_id").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.lit(None).cast("bigint")
-    for k in range(levels, 1, -1):
-        parent = F.when(F.col("level") == k, F.last(F.when(F.col("level") < k, F.col("start_line")), ignorenulls=True).over(before)).otherwise(parent)
-    return sections.withColumn("parent_start", parent)
+def _parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (report, position): the open sections are a stack of rising levels, so as deep as there are levels."""
+    report, open_ = None, []
+    for b in batches:
+        out = []
+        for rid, level, start in zip(*(b.column(c).to_pylist() for c in ("report_id", "level", "start_line"))):
+            if rid != report:
+                report, open_ = rid, []
+            if level is None:
+                out.append(None)
+                continue
+            while open_ and open_[-1][0] >= level:
+                open_.pop()
+            out.append(open_[-1][1] if open_ else None)
+            open_.append((level, start))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "parent_start"])
+
+
+def section_tree(sections: DataFrame, order_by: tuple[str, ...] = ("start_line",)) -> DataFrame:
+    """``sections`` with ``parent_start``: the nearest earlier section of a smaller level, null at the top.
+
+    Levels may be any numbers; a section of null level has no parent and is none.  Section starts, which are few to
+    a report, stream by in order; only the open ones are held.
+    """
+    ordered = sections.repartition("report_id").sortWithinPartitions("report_id", *order_by)
+    schema = StructType([*sections.schema.fields, StructField("parent_start", LongType())])
+    return ordered.mapInArrow(_parents, schema)
 
 
 def level_counts(sections: DataFrame) -> DataFrame:

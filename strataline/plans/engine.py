@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strataline.operators import blocks, catalog, context, index, language, query, sections, timing
 from strataline.operators.boundaries import MARKERS, boundaries
+from strataline.plans import expected
 from strataline.session import table
 from strataline.sources import lines as L
 from strataline.sources.config import Config
@@ -119,12 +120,14 @@ def section_counts(spark, d):
     return sections.level_counts(_sections(spark, d))
 
 
-_SERVICES = [{"name": n, "pattern": p, "priority": r, "category": c} for n, p, r, c in (("mixer", "dumpsys AUDIOMIX", "HIGH", "audio"), ("window", "service windowloom", "HIGH", "window"), ("window end", "dumpsys windowloom", "LOW", "window"), ("clients", " clients-", "MEDIUM", "any"), ("a dump", "was the duration of dumpsys", "LOW", "any"))]
-_FIRST = " ".join(f"when contains(lower(content), '{p['pattern'].lower()}') then {i}" for i, p in enumerate(_SERVICES, 1))
-_PICK = lambda k: "case i " + " ".join(f"when {i} then '{p[k]}'" for i, p in enumerate(_SERVICES, 1)) + " end"
-_SUBS = f"""hits as (select report_id, line_number, i from (select *, case {_FIRST} end i from lines) where i is not null),
-  subs as (select report_id, {_PICK('name')} as name, line_number start_line, coalesce(lead(line_number) over (partition by report_id order by line_number) - 1, 0) end_line,
-    'subsection' section_type, 3 as level, {_PICK('priority')} as priority, {_PICK('category')} as category from hits)"""
+# Subsections of the test reports' own dumps, which go after the catalogue's.
+_OWN = (("mixer", "dumpsys AUDIOMIX", "HIGH", "audio"), ("window", "service windowloom", "HIGH", "window"), ("window end", "dumpsys windowloom", "LOW", "window"), ("clients", " clients-", "MEDIUM", "any"), ("a dump", "was the duration of dumpsys", "LOW", "any"))
+_SERVICES = catalog.dump_subsections() + [{"name": n, "pattern": p, "priority": r, "category": c} for n, p, r, c in _OWN]
+_CATALOGUE = f"""cat(i, name, pattern, priority, category) as (values {expected.SUBSECTIONS}, """ + ", ".join(f"({i}, '{n}', '{p}', '{r}', '{c}')" for i, (n, p, r, c) in enumerate(_OWN, 81)) + ")"
+_HOLDS = r"""(contains(lower(content), lower(pattern)) and (i > 80 or regexp_matches(lower(content), '\Q' || lower(pattern) || '\E(?:$|[^\w\s]|\s+$|\s+[^\w\s])')))"""
+_SUBS = f"""{_CATALOGUE}, held as (select report_id, line_number, arg_min(cat, i) c from lines, cat where {_HOLDS} group by 1, 2),
+  subs as (select report_id, c.name as name, line_number start_line, coalesce(lead(line_number) over (partition by report_id order by line_number) - 1, 0) end_line,
+    'subsection' section_type, 3 as level, c.priority as priority, c.category as category from held)"""
 
 
 def _subsections(spark, d) -> DataFrame:
@@ -139,10 +142,11 @@ def subsections(spark, d):
 @named(f"""with {_SECTIONS}, ends as (select report_id, max(line_number) report_end from lines group by 1),
   parents as (select report_id, name parent_section, start_line parent_start, case when end_line = 0 then report_end else end_line end e from secs join ends using (report_id)
      where name like 'SERVICE DUMP%'),
-  inside as (select l.*, parent_section, parent_start, e, case {_FIRST} end i from lines l join parents p on l.report_id = p.report_id and line_number between parent_start and e)
-  select report_id, parent_section, parent_start, {_PICK('name')} as name, {_PICK('pattern')} as pattern, line_number start_line,
-    coalesce(lead(line_number) over (partition by report_id, parent_start order by line_number) - 1, e) end_line, {_PICK('priority')} as priority, {_PICK('category')} as category
-  from inside where i is not null""")
+  {_CATALOGUE}, inside as (select l.*, parent_section, parent_start, e from lines l join parents p on l.report_id = p.report_id and line_number between parent_start and e),
+  held as (select report_id, line_number, parent_section, parent_start, e, arg_min(cat, i) c from inside, cat where {_HOLDS} group by all)
+  select report_id, parent_section, parent_start, c.name as name, c.pattern as pattern, line_number start_line,
+    coalesce(lead(line_number) over (partition by report_id, parent_start order by line_number) - 1, e) end_line, c.priority as priority, c.category as category
+  from held""")
 def subsections_by_parent(spark, d):
     lines = _lines(spark, d)
     names = ("SERVICE DUMP CRITICAL (dumpview)", "SERVICE DUMP NORMAL (dumpview)")
@@ -446,20 +450,23 @@ def fine_chunks(spark, d):
     return blocks.fine_chunks(_blocks(spark, d))
 
 
-_PATTERNS = (
+# Record types of the test reports' own sections, which go after the catalogue's.
+_TYPES_OWN = (
     ("structured", "MEDIUM", "logcat", "^------ STRUCTURED FEED", r"^------ \d+\.\d+s was the duration of 'STRUCTURED FEED"),
-    ("traces", "CRITICAL", "traces", r"^----- pid \d+ at \d{4}-\d{2}-\d{2}", "^----- (end|pid|Waiting)"),
     ("radio", "HIGH", "logcat", "^------ RADIO JOURNAL", "^------ [A-Z]"),
 )
-_STARTS = " union all ".join("select '{0}' record_type, '{1}' priority, '{2}' category, report_id, line_number, regexp_matches(content, '{3}') st, regexp_matches(content, '{4}') en from lines".format(*[x.replace("'", "''") for x in r]) for r in _PATTERNS)
+_TYPES_SQL = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in _TYPES_OWN)
 
 
-@named(f"""with {_LINES}, m as ({_STARTS}), ends as (select report_id, max(line_number) report_end from lines group by 1)
+@named(f"""with {_LINES}, types(record_type, priority, category, opens, closes) as (values {expected.RECORD_TYPES}, {_TYPES_SQL}),
+    m as (select types.*, report_id, line_number, regexp_matches(content, '^(?:' || opens || ')') st, regexp_matches(content, '^(?:' || closes || ')') en
+      from lines, types where left(content, 1) in ('=', '-', '#', '*') or (content = '' and record_type = 'battery_log')),
+    ends as (select report_id, max(line_number) report_end from lines group by 1)
     select report_id, record_type, priority, category, line_number start_line,
       coalesce((select min(x.line_number) from m x where x.en and x.report_id = m.report_id and x.record_type = m.record_type and x.line_number > m.line_number), report_end) end_line
     from m join ends using (report_id) where st""")
 def record_types(spark, d):
-    return blocks.record_types(_lines(spark, d), _PATTERNS)
+    return blocks.record_types(_lines(spark, d), (*catalog.RECORD_TYPES, *_TYPES_OWN))
 
 
 @named(f"""with {_LINES}, mb as (select report_id, sum(octet_length(encode(content)) + 1) / 1e6 mb from lines group by 1)
@@ -538,12 +545,12 @@ def record_completeness(spark, d):
 _NUMBER = r"try_cast(nullif(regexp_extract(content, '(\d+(?:\.\d+)?)\s*(?:ms|frames|count)', 1), '') as double)"
 
 
-def _rule_sql(domain, focus, patterns, name, least) -> str:
-    match = "regexp_matches(content, '" + "|".join(f"(?:{p})" for p in patterns) + "', 'i')" + (f" and {_NUMBER} > {least}" if name else "")
+def _rule_sql(domain, focus, pattern, name, least) -> str:
+    match = f"regexp_matches(content, '{pattern}', 'i')" + (f" and {_NUMBER} > {least}" if name else "")
     shown = f"'{name}'" if name else "null"
     return f"select report_id, line_number, '{domain}' as domain, '{focus}' focus, {shown} threshold_name, {_NUMBER if name else 'cast(null as double)'} as value from lines where {match}"
 
 
-@named(f"with {_LINES} " + " union all ".join(_rule_sql(*r) for r in catalog.KNOWLEDGE))
+@named(f"with {_LINES} " + " union all ".join(_rule_sql(*r) for r in expected.KNOWLEDGE))
 def knowledge_tags(spark, d):
     return query.tagged(_lines(spark, d), catalog.KNOWLEDGE)

@@ -56,16 +56,16 @@ class Config:
     def keyword_groups(self) -> dict[str, list[str]]:
         return self.data.get("keywords") or {}
 
+    @staticmethod
+    def subsections_of(record_type: dict) -> list[dict]:
+        """Subsections of one record type, whether written as list or map."""
+        subs = record_type.get("subsections") or []
+        return [{"name": k, **(v or {})} for k, v in subs.items()] if isinstance(subs, dict) else list(subs)
+
     @property
     def subsections(self) -> list[dict]:
         """Subsections of all record types, each with the name of its ``parent_record_type``."""
-        out = []
-        for r in self.record_types:
-            subs = r.get("subsections") or []
-            if isinstance(subs, dict):
-                subs = [{"name": k, **(v or {})} for k, v in subs.items()]
-            out += [{**s, "parent_record_type": r.get("name")} for s in subs]
-        return out
+        return [{**s, "parent_record_type": r.get("name")} for r in self.record_types for s in self.subsections_of(r)]
 
 
 def load_queries(path: str | Path) -> list[dict]:

@@ -1,5 +1,7 @@
 """The engine's own operators: small cases by hand."""
 
+from collections import Counter
+
 import pytest
 
 from strataline.functions.textnorm import query_pattern, stripped, text_pieces
@@ -182,7 +184,37 @@ def test_blocks(spark):
 def test_record_types(spark):
     got = rows(blocks.record_types(frame(spark, {1: REPORT})).select("record_type", "start_line", "end_line"), "start_line", "record_type")
     assert got == [("header", 1, 2), ("memory_info", 2, 5), ("vmstat", 6, 8)]
-    assert len(catalog.record_patterns()) == 36 and len(catalog.preset_keywords()) == 36 and len({s["name"] for s in catalog.service_subsections()}) == 78
+
+
+def test_catalogues():
+    of = lambda rows, j: sorted(Counter(r[j] for r in rows).items())
+    assert len({r[0] for r in catalog.RECORD_TYPES}) == 36 and of(catalog.RECORD_TYPES, 1) == [("CRITICAL", 6), ("HIGH", 11), ("LOW", 8), ("MEDIUM", 11)]
+    assert len({r[0] for r in catalog.SUBSECTIONS}) == 80 and of(catalog.SUBSECTIONS, 2) == [("CRITICAL", 4), ("HIGH", 28), ("LOW", 20), ("MEDIUM", 28)]
+    assert len({r[:3] for r in catalog.KNOWLEDGE}) == 24 and len([r for r in catalog.KNOWLEDGE if r[3]]) == 8
+    assert len(catalog.preset_keywords()) == 36 and len(catalog.PRESERVED) == 9
+
+
+def test_every_subsection_is_found_by_its_own_line(spark):
+    lines = []
+    for _, pattern, _, _ in catalog.SUBSECTIONS:
+        service = pattern.startswith("was")
+        lines.append(f"--------- 7.123s {pattern}, ending at: 2025-01-01 00:00:00" if service else f"{pattern} (dumpsys activity x)")
+        lines.append(pattern.upper() + "x")  # goes on with a word
+    found = sections.subsections(frame(spark, {1: lines}), catalog.dump_subsections()).orderBy("start_line").select("name", "start_line", "priority", "category").collect()
+    assert [tuple(r) for r in found] == [(n, 2 * i + 1, r, c) for i, (n, _, r, c) in enumerate(catalog.SUBSECTIONS)]
+
+
+def test_record_types_of_any_beginning_and_of_many_marks(spark):
+    lines = frame(spark, {1: ["BEGIN", "x", "END", "BEGIN", "BEGIN"], 2: ["=" * 20] * 20_000})
+    own = blocks.record_types(lines.where("report_id = 1"), [("t", "LOW", "c", "^BEGIN", "^END")])
+    assert rows(own.select("start_line", "end_line"), "start_line") == [(1, 3), (4, 5), (5, 5)]
+    assert blocks.record_types(lines.unionByName(lines)).where("report_id = 2 and end_line = 20000").select("start_line").distinct().count() == 20_000
+
+
+def test_tree_of_any_levels(spark):
+    df = spark.createDataFrame([(1, i, lv) for i, lv in enumerate((6, 7, 8, 9, 7, None, 8, -1, 500), 1)] + [(2, 1, 9)], "report_id long, start_line long, level int")
+    got = rows(sections.section_tree(df).select("report_id", "start_line", "parent_start"), "report_id", "start_line")
+    assert got == [(1, 1, None), (1, 2, 1), (1, 3, 2), (1, 4, 3), (1, 5, 1), (1, 6, None), (1, 7, 5), (1, 8, None), (1, 9, 8), (2, 1, None)]
 
 
 def test_integrity(spark):
