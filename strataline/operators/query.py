@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import re
+import uuid
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from strataline.functions.textnorm import contains_word, query_pattern
 from strataline.operators.index import keyword_index
+from strataline.operators.matching import EXPRESSIONS, containing, found_in, worker_automaton
 from strataline.operators.sections import covering
+from strataline.session import small
+
+#: Queries matched in one pass by workers.
+BLOCK = 20_000
 
 
 @dataclass
@@ -45,19 +53,20 @@ class QuerySet:
         return q
 
     @classmethod
-    def from_table(cls, table: DataFrame, bound: int = 10_000) -> QuerySet:
-        """Queries of a table of at most ``bound`` rows; a query without name is left out."""
-        rows = table.where("name is not null").limit(bound + 1).collect()
-        if len(rows) > bound:
-            raise ValueError(f"more than {bound} queries")
+    def from_table(cls, table: DataFrame) -> QuerySet:
+        """Queries of a table, which is a stated set and held by the driver; a query without name is left out."""
         out = cls()
-        for r in rows:
+        for r in table.where("name is not null").toLocalIterator():
             q = Query.of(r.asDict())
             if q.name in out.queries:
                 raise ValueError(f"query {q.name} repeats")
             out.queries[q.name] = q
         return out
 
+    def asked(self, *types: str) -> list[Query]:
+        """Queries of these types that are on and have a pattern."""
+        return [q for q in self.queries.values() if q.enabled and q.pattern and q.type in types]
+
 
 def condition(q: Query, content: Column) -> Column | None:
     """What a line must meet; None for queries that are off, empty, of unknown type or don't compile."""
@@ -109,21 +118,63 @@ def section_matches(lines: DataFrame, sections: DataFrame, pattern: str) -> Data
     return covering(lines, chosen).select("report_id", "line_number", "content").distinct()
 
 
-def many(lines: DataFrame, queries: QuerySet, sections: DataFrame | None = None) -> DataFrame:
-    """``query_name, report_id, line_number`` of all queries, in one pass over the lines.
+def _section_hits(lines: DataFrame, queries: list[Query], sections: DataFrame) -> DataFrame:
+    """Hits of all section queries by one covering join; the names of a section's queries go with it."""
+    names = F.array(*[F.lit(q.name) for q in queries])
+    named = containing(sections.select("report_id", "name", "start_line", "end_line"), "name", [q.pattern for q in queries], "_found")
+    chosen = named.where(F.size("_found") > 0).select("report_id", "start_line", "end_line", F.transform("_found", lambda i: F.get(names, i)).alias("_names"))
+    inside = covering(lines.select("report_id", "line_number"), chosen)
+    return inside.select(F.explode("_names").alias("query_name"), "report_id", "line_number").distinct()
+
+
+def _matcher(shared):
+    """Names of the queries each line meets: keywords by an automaton, regular expressions one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, keywords, names, regexes = shared.value
+        auto = worker_automaton(key, keywords)
+        tried = [(re.compile(p, re.I).search, name) for p, name in regexes]
+        for b in batches:
+            at, found = [], []
+            for i, (text, low) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                hit = [names[k] for k in found_in(auto, low)] + [name for search, name in tried if search(text)]
+                at += [i] * len(hit)
+                found += hit
+            index = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), b.column(0).take(index), b.column(1).take(index)], ["query_name", "report_id", "line_number"])
+
+    return run
+
+
+def _many_matched(lines: DataFrame, queries: QuerySet, block: int) -> DataFrame:
+    """The same as by expressions for a set too large for one projection, one pass for each block of queries."""
+    asked = [q for q in queries.asked("keyword", "regex") if q.type == "keyword" or query_pattern(q.pattern) is not None]
+    text = lines.select("report_id", "line_number", "content", F.lower("content").alias("_low")).where("content is not null")
+    kind = StructType([StructField("query_name", StringType()), *(lines.schema[c] for c in ("report_id", "line_number"))])
+    parts = []
+    for k in range(0, len(asked), block):
+        of = asked[k : k + block]
+        words = [q for q in of if q.type == "keyword"]
+        shared = lines.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [q.pattern.lower() for q in words], [q.name for q in words], [(q.pattern, q.name) for q in of if q.type == "regex"]))
+        parts.append(text.mapInArrow(_matcher(shared), kind))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def many(lines: DataFrame, queries: QuerySet, sections: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """``query_name, report_id, line_number`` of all queries, in one pass over the lines (and one for section queries, if any).
 
-    Queries of type section match nothing unless ``sections`` are given.
+    Queries of type section match nothing unless ``sections`` are given.  Beyond ``EXPRESSIONS`` queries workers match
+    them in blocks of ``block``.
     """
     content = F.col("content")
-    each = [F.when(c, F.lit(q.name)) for q in queries.queries.values() if (c := condition(q, content)) is not None]
-    names = F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
-    hits = lines.select(F.explode(names).alias("query_name"), "report_id", "line_number")
-    if sections is not None:
-        for q in queries.queries.values():
-            if q.enabled and q.pattern and q.type == "section":
-                found = section_matches(lines, sections, q.pattern)
-                hits = hits.unionByName(found.select(F.lit(q.name).alias("query_name"), "report_id", "line_number"))
-    return hits
+    if len(queries.asked("keyword", "regex")) > EXPRESSIONS:
+        hits = _many_matched(lines, queries, block)
+    else:
+        each = [F.when(c, F.lit(q.name)) for q in queries.queries.values() if (c := condition(q, content)) is not None]
+        names = F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
+        hits = lines.where(F.size(names) > 0).select(F.explode(names).alias("query_name"), "report_id", "line_number")
+    of_sections = queries.asked("section") if sections is not None else []
+    return hits.unionByName(_section_hits(lines, of_sections, sections)) if of_sections else hits
 
 
 def summary(hits: DataFrame, queries: DataFrame) -> DataFrame:
@@ -160,26 +211,21 @@ def _finder(keyword: str):
     return run
 
 
-def index_query(keyword: str, enhanced: DataFrame, custom: DataFrame, use_preset: bool = True, use_custom: bool = True, bound: int = 10_000) -> DataFrame:
+def index_query(keyword: str, enhanced: DataFrame, custom: DataFrame, use_preset: bool = True, use_custom: bool = True) -> DataFrame:
     """``source, query_name, report_id, line_number`` of a keyword in both indexes; matches aren't made distinct.
 
     The custom index answers with its queries of type keyword whose pattern equals the keyword, case aside,
-    and with those of type regex whose pattern is found *in the keyword*; more than ``bound`` patterns are searched by the workers.
+    and with those of type regex whose pattern is found *in the keyword*.  The distinct patterns are searched where they
+    are; none is brought to the driver.
     """
     word = F.lit(keyword.lower())
     parts = []
     if use_custom:
-        stored = custom.where("type = 'regex'").select("pattern").distinct()
-        few = stored.limit(bound + 1).collect()
-        match = (F.col("type") == "keyword") & (F.lower("pattern") == word)
-        answers = custom
-        if len(few) > bound:
-            found = stored.mapInArrow(_finder(keyword), "pattern string").withColumn("_found", F.lit(True))
-            answers = custom.join(found, "pattern", "left")
-            match = match | ((F.col("type") == "regex") & F.col("_found"))
-        elif reverse := _found_in(keyword, [r.pattern for r in few]):
-            match = match | ((F.col("type") == "regex") & F.col("pattern").isin(*reverse))
-        parts.append(answers.where(match).select(F.lit("custom").alias("source"), "query_name", "report_id", F.explode("line_numbers").alias("line_number")).where("line_number is not null"))
+        stored = custom.where("type = 'regex' and pattern is not null").select("pattern").distinct()
+        found = stored.mapInArrow(_finder(keyword), "pattern string")
+        reverse = custom.where("type = 'regex'").join(small(found), "pattern", "left_semi").select("query_name", "report_id", "line_numbers")
+        equal = custom.where((F.col("type") == "keyword") & (F.lower("pattern") == word)).select("query_name", "report_id", "line_numbers")
+        parts.append(equal.unionByName(reverse).select(F.lit("custom").alias("source"), "query_name", "report_id", F.explode("line_numbers").alias("line_number")).where("line_number is not null"))
     if use_preset:
         hits = enhanced.where((F.lower("keyword") == word) & F.col("line_number").isNotNull())
         parts.append(hits.select(F.lit("preset").alias("source"), F.lit(None).cast("string").alias("query_name"), "report_id", "line_number"))
@@ -188,6 +234,13 @@ def index_query(keyword: str, enhanced: DataFrame, custom: DataFrame, use_preset
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def index_answer(hits: DataFrame) -> DataFrame:
+    """What an index query answers in all: ``report_id, match_count, sources array<string>``: the counts of both sources summed,
+    and which gave hits, by name in order; queries of the custom index as ``custom:name``."""
+    source = F.when(F.col("source") == "custom", F.concat(F.lit("custom:"), F.coalesce("query_name", F.lit("")))).otherwise(F.col("source"))
+    return hits.groupBy("report_id").agg(F.count("*").alias("match_count"), F.sort_array(F.collect_set(source)).alias("sources"))
+
+
 def composite(chunks: DataFrame, tokens: DataFrame, key: str, types: list[str] | None = None, time_range: tuple[str, str] | None = None, words: list[str] | None = None, any_word: bool = False) -> DataFrame:
     """Rows of ``chunks(key, record_type, ts)`` that are of one of ``types``, within the time (both ends included) and
     have all (or any) of the words; no rows if nothing is asked."""
@@ -231,4 +284,7 @@ def tagged(lines: DataFrame, rules) -> DataFrame:
         tag = F.struct(F.lit(domain).alias("domain"), F.lit(focus).alias("focus"), F.lit(name).cast("string").alias("threshold_name"), (number if name else F.lit(None).cast("double")).alias("value")).cast(kind)
         by_patterns.setdefault(tuple(patterns), []).append(F.when(number > F.lit(float(least)), tag) if name else tag)
     each = F.array(*[F.when(content.rlike(_any_of(patterns)), F.array(*tags)) for patterns, tags in by_patterns.items()])
-    return lines.select("report_id", "line_number", F.explode(F.array_compact(F.flatten(F.array_compact(each)))).alias("_t")).select("report_id", "line_number", "_t.*")
+    held = F.lit(False)
+    for patterns in by_patterns:
+        held = held | content.rlike(_any_of(patterns))
+    return lines.where(held).select("report_id", "line_number", F.explode(F.array_compact(F.flatten(F.array_compact(each)))).alias("_t")).select("report_id", "line_number", "_t.*")

@@ -292,8 +292,38 @@ def test_record_types_end_at_lines_that_are_no_markers(spark):
     assert rows(mine.select("record_type", "start_line", "end_line"), "start_line") == [("mine", 6, 7)]
 
 
-def test_index_query_beyond_the_bound(spark):
+def test_index_query_searches_every_pattern(spark):
     custom = spark.createDataFrame([("q", "regex", p, 1, [n, None]) for n, p in enumerate(["slow", "s.ow", "fast", "(", "l", None])] + [("k", "keyword", "SLOW", 1, [9])], "query_name string, type string, pattern string, report_id long, line_numbers array<long>")
     enhanced = spark.createDataFrame([("slow", 1, 7)], "keyword string, report_id long, line_number long")
-    for bound in (1, 100):
-        assert [r[0] for r in rows(query.index_query("slow", enhanced, custom, bound=bound).select("line_number"), "line_number")] == [0, 1, 4, 7, 9]
+    hits = query.index_query("slow", enhanced, custom)
+    assert [r[0] for r in rows(hits.select("line_number"), "line_number")] == [0, 1, 4, 7, 9]
+    assert rows(query.index_answer(hits), "report_id") == [(1, 5, ["custom:k", "custom:q", "preset"])]
+    many = spark.range(12_000).selectExpr("concat('q', id) query_name", "'regex' type", "concat('slow|', id) pattern", "1L report_id", "array(id) line_numbers")
+    assert query.index_query("slow", enhanced, many, use_preset=False).count() == 12_000
+
+
+def test_any_number_of_queries(spark):
+    lines = frame(spark, {1: ["alpha Beta", "gamma 7", "x"], 2: ["------ ALPHA ------", "beta"]})
+    toc = spark.createDataFrame([(1, "Alpha part", 1, 2), (2, "rest", 1, 0)], "report_id long, name string, start_line long, end_line long")
+    qs = query.QuerySet()
+    for i in range(5):
+        qs.register(f"k{i}", "keyword", ("BETA", "amma", "nothing", "x", "")[i])
+    qs.register("r", "regex", r"A\w+ |\d$")
+    qs.register("broken", "regex", "(")
+    qs.register("s", "section", "alpha")
+    qs.register("t", "section", "r")
+    few = rows(query.many(lines, qs, toc), "query_name", "report_id", "line_number")
+    assert ("s", 1, 2) in few and ("t", 2, 2) in few and ("r", 1, 2) in few and ("k0", 2, 2) in few
+    for i in range(400):
+        qs.register(f"absent{i}", "keyword", f"absent {i}")
+        qs.register(f"no section{i}", "section", f"absent {i}")
+    for block in (7, 20_000):
+        assert rows(query.many(lines, qs, toc, block), "query_name", "report_id", "line_number") == few
+
+
+def test_twenty_thousand_queries(spark):
+    table = spark.range(20_000).selectExpr("concat('q', id) name", "if(id % 2 = 0, 'keyword', 'section') type", "concat('w', id, '.') pattern", "'LOW' priority", "cast(null as string) description", "true enabled")
+    lines = frame(spark, {1: ["a w40. b", "w19999. w2."]})
+    toc = spark.createDataFrame([(1, "w7. w19999.", 2, 0)], "report_id long, name string, start_line long, end_line long")
+    got = rows(query.many(lines, query.QuerySet.from_table(table), toc), "query_name", "line_number")
+    assert [(r[0], r[2]) for r in got] == [("q19999", 2), ("q2", 2), ("q40", 1), ("q7", 2)]
