@@ -81,6 +81,31 @@ def test_pieces_equal_brute_force(spark):
     assert {tuple(x) for x in got} == want and len(got) == len(want) > 100
 
 
+def test_parts_make_no_difference(spark):
+    """Sections over many parts, with lines beyond the limit, blank stretches, long overlaps, no natural boundaries."""
+    r = random.Random(9)
+    texts = {1: report(900, 4), 2: ["", "", ""] * 60 + ["x" * 4000] + ["y" * 40] * 300 + ["z" * 90_000] + ["y" * 37] * 200, 3: [r.choice(["", "a" * r.randrange(60), "b" * 700]) for _ in range(700)], 4: ["q" * 9000] * 30, 5: ["q" * 9000]}
+    rows = [(k, i, x, None) for k, t in texts.items() for i, x in enumerate(t, 1)]
+    sections = [(k, f"log {k}", a, z, None, "1") for k in texts for a, z in ((1, 0), (40, 600)) if a <= len(texts[k])]
+    asked = [("a", 300, 3), ("h", 40, 9), ("i", 64, 500), ("j", 5, 0), ("k", 700, 1)]
+    queries = [(q, "section", "log", True, limit, overlap) for q, limit, overlap in asked]
+    frames = spark.createDataFrame(rows, LINES).repartition(4), spark.createDataFrame(sections, SECTIONS), spark.createDataFrame(queries, QUERIES)
+    want = {(q, k, a, *p) for k, _, a, z, *_ in sections for q, limit, overlap in asked for p in brute_pieces(texts[k], a, min(z or len(texts[k]), len(texts[k])), limit, overlap)}
+    for tokens in (1 << 18, 5_600, 6_007):
+        got = [tuple(x) for x in split_sections(*frames, part_tokens=tokens).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, tokens
+
+
+def test_lines_between_parts_are_asked_where_they_are(spark):
+    """All queries small, so that a report of 3,000 lines has a hundred parts."""
+    text = report(3_000, 11)
+    sections = spark.createDataFrame([(1, "log", 1, 0, None, "1")], SECTIONS)
+    asked = [("a", 60, 4), ("b", 25, 0)]
+    queries = spark.createDataFrame([(q, "section", "log", True, limit, overlap) for q, limit, overlap in asked], QUERIES)
+    got = split_sections(spark.createDataFrame([(1, i, x, None) for i, x in enumerate(text, 1)], LINES), sections, queries, part_tokens=480)
+    assert {tuple(x) for x in got.collect()} == {(q, 1, 1, *p) for q, limit, overlap in asked for p in brute_pieces(text, 1, len(text), limit, overlap)}
+
+
 def test_empty_tables_give_no_pieces(spark):
     e = lambda s: spark.createDataFrame([], s)
     assert split_sections(e(LINES), e(SECTIONS), e(QUERIES)).count() == 0
