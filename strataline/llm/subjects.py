@@ -3,31 +3,33 @@
 A document treats a subject if enough of its own sentences do.  Own sentences are those
 left once log excerpts, dumps, quotations and headings are taken out.  A sentence treats the
 subject whose terms it holds, weighted by how sure a sign of the subject a term is and how
-rare it is.  The share of a document's sentences, and so its length, decides; the threshold is
-calibrated on the labels.
+rare it is.  The share of a document's sentences, and so its length, decides; each subject's threshold is
+calibrated on labelled documents that are held out of the fit.
 
-The terms: a curated core in English, and terms of one to three words curated from labelled
-documents by their support and by how purely they stand with one subject (this gives the other
-languages and turns of phrase).  They are fitted twice: on the labelled documents, then on these and on
+The terms, of one to three words, are curated from labelled documents by their support and by how purely they stand
+with one subject.  They are fitted twice: on the labelled documents, then on these and on
 unlabelled ones that the first terms give exactly one subject, which brings in terms that stand
 beside known ones.  Only the labelled documents of the fit are a sample, of at most about ``SAMPLE``
 drawn by a hash of their ids; the second fit and scoring cover every document whole.  Sentences are taken
-out once and written.  Terms are matched by one automaton over all of them.
+out once, in one pass over the corpus, and written.  Terms are matched by one automaton over all of them, built once a
+worker.  Where nothing is labelled, a short list of fixed terms takes the place of curated ones.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions import layouts as L
+from strataline.operators.parsing import Rules
 from strataline.session import materialize, small
 
 #: Labelled documents the terms are fitted on, at most (about).
@@ -36,10 +38,13 @@ SAMPLE = 30_000
 SUPPORT, PURITY = 3, 0.75
 #: Weight of a sentence's terms from which it treats a subject.
 ENOUGH = 1.0
-#: Threshold if there are no labels to calibrate it on: a quarter of the sentences.
-SHARE = 0.25
+#: Threshold as stated, a quarter of the sentences: it holds unless the labels held out speak against it by more than CLEARLY in
+#: their F score, and for subjects of fewer than FEW labels held out that of all subjects together does.
+SHARE, CLEARLY, FEW = 0.25, 0.005, 50
+#: One labelled document in so many is held out.
+HELD_OUT = 5
 
-# Curated terms by subject.
+# Terms by subject, for corpora without labels.
 CORE = {
     "power": "suspend path, standby current, wakelock, charging curve, charger handshake, doze window, power rail, discharge rate, battery drain, fuel gauge",
     "memory": "slab usage, out-of-memory killer, page cache, low memory stall, reclaim thread, allocation spike, swap area, resident set, heap growth, leak candidate",
@@ -63,6 +68,10 @@ _ends = re.compile(r"[.!?…:;][\"'”’)\]]*\s*$").search
 _stops = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+").split
 
 
+#: Layout rules by the head of a line, remembered by the worker.
+_rules = Rules({})
+
+
 def own_sentences(text: str) -> list[list[str]]:
     """Sentences of a document as lists of lower-case words, without log excerpts, dumps, quotations and headings.
 
@@ -73,7 +82,7 @@ def own_sentences(text: str) -> list[list[str]]:
         if not line.strip():
             open_line = False
             continue
-        rule = L.resolve(L.signature(line))
+        rule = _rules[L.head(line)]
         if _quoted(line) or _object(line) or _dumped(line) or (rule >= 0 and L.extract(rule, line).kind != L.CONT):
             open_line = False
             continue
@@ -98,10 +107,10 @@ def terms_of(sentences: list[list[str]]) -> set[str]:
     out = set()
     for w in sentences:
         w = [x if x[0].isalpha() else "" for x in w]
-        for n in (1, 2, 3):
-            for k in range(len(w) - n + 1):
-                if all(part := w[k : k + n]):
-                    out.add(" ".join(part))
+        out.update(w)
+        out.update([f"{a} {b}" for a, b in zip(w, w[1:]) if a and b])
+        out.update([f"{a} {b} {c}" for a, b, c in zip(w, w[1:], w[2:]) if a and b and c])
+    out.discard("")
     return out
 
 
@@ -155,7 +164,7 @@ def _sampled(df: DataFrame, n: int, sample: int) -> DataFrame:
 
 def _guesser(shared):
     def guessed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[str]], str]]:
-        auto = automaton(shared.value)
+        auto = worker_terms(*shared.value)
         for b in batches:
             for own in b.column(0).to_pylist():
                 sentences = _split(own)
@@ -167,7 +176,7 @@ def _guesser(shared):
 
 
 def curate(counts: DataFrame, total: int) -> dict[str, tuple[str, float]]:
-    """Term -> (subject, weight) from ``counts(term, subject, n)`` of ``total`` documents and the core."""
+    """Term -> (subject, weight) from ``counts(term, subject, n)`` of ``total`` documents."""
     best = (
         counts.groupBy("term", "subject")
         .agg(F.sum("n").alias("n"))
@@ -187,22 +196,25 @@ def curate(counts: DataFrame, total: int) -> dict[str, tuple[str, float]]:
         sure = (r["n"] + 1) / (r["all"] + 2)
         rare = math.log(1 + total / r["all"]) / math.log(1 + total)
         weights[r["term"]] = (r["subject"], 2 * sure * (0.5 + rare))
-    for subject, terms in CORE.items():
-        for term in terms.split(", "):
-            weights.setdefault(term, (subject, 2.0))
     return weights
 
 
-def fit_terms(own: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[str, float]]:
-    """Terms from the core, from at most about ``sample`` labelled documents of one subject and from all unlabelled
-    ones that these give one subject; ``own(doc_id, own)`` has the documents' sentences."""
+def held_out(column: str = "doc_id") -> Column:
+    """Whether a labelled document is kept for the thresholds."""
+    return F.pmod(F.xxhash64(column, F.lit("held out")), F.lit(HELD_OUT)) == 0
+
+
+def fit_terms(own: DataFrame, named: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[str, float]]:
+    """Terms from at most about ``sample`` labelled documents of one subject and from all unlabelled ones that these give one
+    subject; ``own(doc_id, own)`` has the documents' sentences, ``named(doc_id, subject)`` the labels."""
     kind = "term string, subject string, n bigint"
-    named = clean_labels(labels)
-    per_doc = named.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("subject").alias("subject")).where("n = 1").select("doc_id", "subject")
+    per_doc = named.where(~held_out()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("subject").alias("subject")).where("n = 1").select("doc_id", "subject")
     n, every = per_doc.count(), own.count()
+    if not n:
+        return {term: (subject, 2.0) for subject, terms in CORE.items() for term in terms.split(", ")}
     told = materialize(own.join(small(_sampled(per_doc, n, sample)), "doc_id").select("own", "subject").mapInArrow(_told, kind), "told")
     total = max(min(n, sample), 2)
-    shared = own.sparkSession.sparkContext.broadcast(curate(told, total))
+    shared = own.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, curate(told, total)))
     others = own.join(small(named.select("doc_id").distinct()), "doc_id", "left_anti").select("own")
     return curate(told.unionByName(others.mapInArrow(_guesser(shared), kind)), total + every)
 
@@ -215,6 +227,17 @@ def automaton(weights: dict[str, tuple[str, float]]):
     return auto
 
 
+_automata: dict[str, ahocorasick.Automaton] = {}
+
+
+def worker_terms(key: str, weights: dict[str, tuple[str, float]]):
+    """The automaton of these terms, built once a worker."""
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = automaton(weights)
+    return _automata[key]
+
+
 def shares(sentences: list[list[str]], auto) -> dict[str, float]:
     """Share of a document's own sentences that treat each subject."""
     treated: Counter = Counter()
@@ -231,7 +254,7 @@ def shares(sentences: list[list[str]], auto) -> dict[str, float]:
 
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(shared.value)
+        auto = worker_terms(*shared.value)
         for b in batches:
             ids, subjects, values = [], [], []
             for doc, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -244,35 +267,48 @@ def _scorer(shared):
     return run
 
 
-def calibrate(scored: DataFrame, labels: DataFrame) -> float:
-    """The threshold between an eighth and three eighths that agrees best with the labels; the middle of equally
-    good ones."""
-    named = clean_labels(labels)
-    judged = scored.join(named.select("doc_id").distinct(), "doc_id", "left_semi")
-    marked = judged.join(named.withColumn("told", F.lit(1)), ["doc_id", "subject"], "left")
-    rows = marked.groupBy(F.round("share", 2).alias("at")).agg(F.count("told").alias("yes"), F.count("*").alias("every")).collect()  # at most 101
-    told = sum(r.yes for r in rows)
-    if not told:
-        return SHARE
+def _threshold(rows: list[tuple[float, int, int]], told: int) -> float:
+    """The threshold nearest to the stated one among those between an eighth and three eighths that agree with the labels as well
+    as any, from ``(share, labelled so, all)``; ``told`` is the number of labels."""
     tried = []
     for step in range(25, 76):
         at = step / 200
-        yes, every = (sum(r[k] for r in rows if r["at"] >= at) for k in ("yes", "every"))
-        tried.append((round(2 * yes / (every + told), 3), at))
+        yes, every = (sum(r[k] for r in rows if r[0] >= at) for k in (1, 2))
+        tried.append((2 * yes / (every + told), at))
     best = max(tried)[0]
-    good = [at for f, at in tried if f == best]
-    return (good[0] + good[-1]) / 2
+    return min((at for f, at in tried if f >= best - CLEARLY), key=lambda at: abs(at - SHARE))
+
+
+def calibrate(scored: DataFrame, named: DataFrame) -> dict[str | None, float]:
+    """Threshold of each subject, and under None that of all together, by the labelled documents that were held out."""
+    kept = named.where(held_out())
+    judged = scored.join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    marked = judged.join(kept.withColumn("told", F.lit(1)), ["doc_id", "subject"], "left")
+    rows = marked.groupBy("subject", F.round("share", 2).alias("at")).agg(F.count("told").alias("yes"), F.count("*").alias("every")).collect()  # at most 101 a subject
+    told = {r.subject: r.n for r in kept.where("subject <> 'none'").groupBy("subject").agg(F.count("*").alias("n")).collect()}
+    of = lambda subject: [(r["at"], r.yes, r.every) for r in rows if subject in (None, r.subject)]
+    out: dict[str | None, float] = {None: _threshold(of(None), sum(told.values())) if told else SHARE}
+    for subject, n in told.items():
+        if n >= FEW:
+            out[subject] = _threshold(of(subject), n)
+    return out
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, subject, share`` of every subject a document treats.
 
     Null, empty and blank texts and texts without own sentences have no subject; labels
-    may be repeated, misspelt in case and white space, or null.  Without labels the core terms and a
+    may be repeated, misspelt in case and white space, or null.  Without labels fixed terms and a
     quarter of the sentences decide.  Empty tables give no rows; extra columns are ignored.
     """
+    spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null")
     own = materialize(texts.mapInArrow(_owned, "doc_id bigint, own string"), "own")
-    shared = documents.sparkSession.sparkContext.broadcast(fit_terms(own, labels, sample))
+    named = materialize(clean_labels(labels), "labels")
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, fit_terms(own, named, sample)))
     scored = materialize(own.where("doc_id is not null").mapInArrow(_scorer(shared), "doc_id bigint, subject string, share double"), "shares")
-    return scored.where(F.col("share") >= calibrate(scored, labels)).groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
+    limits = calibrate(scored, named)
+    limit = F.lit(limits.pop(None))
+    for subject, at in limits.items():
+        limit = F.when(F.col("subject") == subject, at).otherwise(limit)
+    return scored.where(F.col("share") >= limit).groupBy("doc_id", "subject").agg(F.max("share").alias("share"))
