@@ -78,7 +78,7 @@ def own_sentences(text: str) -> list[list[str]]:
     A line that doesn't end a sentence goes on in the next, unless that is an item of a list."""
     paragraphs: list[str] = []
     open_line = False
-    for line in re.split(r"\r\n|\r|\n", _fence("", text)):
+    for line in (_fence("", text) if "```" in text else text).replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         if not line.strip():
             open_line = False
             continue
@@ -167,10 +167,9 @@ def _guesser(shared):
         auto = worker_terms(*shared.value)
         for b in batches:
             for own in b.column(0).to_pylist():
-                sentences = _split(own)
-                treated = [s for s, x in shares(sentences, auto).items() if x >= SHARE]
+                treated = [s for s, x in shares(own, auto).items() if x >= SHARE]
                 if len(treated) == 1:
-                    yield sentences, treated[0]
+                    yield _split(own), treated[0]
 
     return lambda batches: _counted(guessed(batches))
 
@@ -238,27 +237,34 @@ def worker_terms(key: str, weights: dict[str, tuple[str, float]]):
     return _automata[key]
 
 
-def shares(sentences: list[list[str]], auto) -> dict[str, float]:
-    """Share of a document's own sentences that treat each subject."""
-    treated: Counter = Counter()
+def shares(own: str, auto) -> dict[str, float]:
+    """Share of a document's own sentences, one a line, that treat each subject."""
+    if not own:
+        return {}
+    treated: dict[str, int] = {}
+    sentences = own.split("\n")
     for w in sentences:
-        weight: defaultdict = defaultdict(float)
-        for _, (subject, x) in auto.iter(f" {' '.join(w)} "):
-            weight[subject] += x
+        weight: dict[str, float] = {}
+        for _, (subject, x) in auto.iter(f" {w} "):
+            weight[subject] = weight.get(subject, 0.0) + x
         if weight:
-            subject, x = max(weight.items(), key=lambda i: (i[1], i[0]))
+            subject, x = max(weight.items(), key=_heaviest) if len(weight) > 1 else next(iter(weight.items()))
             if x >= ENOUGH:
-                treated[subject] += 1
+                treated[subject] = treated.get(subject, 0) + 1
     return {s: k / len(sentences) for s, k in treated.items()}
 
 
+def _heaviest(item: tuple[str, float]) -> tuple[float, str]:
+    return item[1], item[0]
+
+
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = worker_terms(*shared.value)
         for b in batches:
             ids, subjects, values = [], [], []
             for doc, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for s, x in shares(_split(own), auto).items():
+                for s, x in shares(own, auto).items():
                     ids.append(doc)
                     subjects.append(s)
                     values.append(x)
