@@ -43,16 +43,16 @@ def attach(parsed: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
 
 def blocks(parsed: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
     """Entries of parsed lines, and what separates them: ``report_id, first_line, last_line, entry, level_id,
-    component, message_hash``; ``entry`` is false for headings, durations, traces and dumps.
+    component, message_hash, time_line``; ``entry`` is false for headings, durations, traces and dumps.
 
     The level of an entry is that of its first line, else of the line after it, or of its
     fields, as its layout has it; ``message_hash`` covers all its lines in order (null where
-    the parse had no messages).  A column ``at_micros`` of ``parsed``, if there is one, comes out as the
-    entry's own time.
+    the parse had no messages); ``time_line`` is the line that states the entry's own time (null where the parse
+    had no times).
     """
     at, kind = F.col("line_number") - F.col("opened"), F.col("kind")
     opening = at == 0
-    timed = [F.max("at_micros").alias("at_micros")] if "at_micros" in parsed.columns else []
+    states = lambda c: F.max(F.when(c & (F.col("clock") > 0), F.col("line_number")))
     whole = (
         attach(parsed, size)
         .where("opened is not null")
@@ -66,7 +66,7 @@ def blocks(parsed: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
             F.max(F.when(opening, F.col("component"))).alias("component"),
             F.max(F.when(kind == L.FIELD, F.col("component"))).alias("field_component"),
             F.bit_xor(F.xxhash64(F.col("message_hash"), at)).alias("message_hash"),
-            *timed,
+            F.coalesce(states(opening), states(kind == L.FIELD)).alias("time_line"),
         )
     )
     braces = F.col("kind") == L.JOPEN
@@ -79,7 +79,7 @@ def blocks(parsed: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
         level.alias("level_id"),
         F.when(braces, F.col("field_component")).otherwise(F.col("component")).alias("component"),
         "message_hash",
-        *[c for c in ("at_micros",) if timed],
+        "time_line",
     )
 
 
