@@ -110,7 +110,9 @@ def event_runs(lines: DataFrame, reports: DataFrame | None = None) -> DataFrame:
     columns are ignored.
     """
     parsed = materialize(parse_lines(lines, times=reports is not None, messages=True), "parsed")
+    # an entry without time asks for its first line, which has none, so that these spread too
+    events = blocks(parsed).withColumn("time_line", F.coalesce("time_line", "first_line"))
     if reports is not None:
-        at = parsed_instants(parsed, reports).withColumnRenamed("utc_micros", "at_micros")
-        parsed = materialize(parsed.join(at, ["report_id", "line_number"], "left"), "timed")
-    return collapse(blocks(parsed))
+        at = parsed_instants(parsed, reports).select("report_id", F.col("line_number").alias("time_line"), F.col("utc_micros").alias("at_micros"))
+        events = events.join(at, ["report_id", "time_line"], "left")
+    return collapse(events)
