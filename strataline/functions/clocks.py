@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
@@ -102,18 +101,6 @@ def readings(clock, micros, swapped, offset, abbr, tz, boot, captured) -> tuple[
 SWITCH, EXCHANGED, BACK, NEVER = 3.0, 4.0, 1.0, 1e12
 
 
-def _times(items: Iterable[tuple[list[int], list[int]]]) -> np.ndarray:
-    """Instants by record and state; NaN where the state isn't valid.  State 0: order as written, 1: exchanged."""
-    out = np.full((len(items), 2), np.nan)
-    for i, (at, orders) in enumerate(items):
-        for a, o in zip(at, orders):
-            if o < 0:
-                out[i] = a
-            else:
-                out[i, o] = a
-    return out
-
-
 def steps(t: np.ndarray) -> np.ndarray:
     """Cost of state a at record i and b at record i + 1, as [i, a, b]."""
     hours = (t[:-1, :, None] - t[1:, None, :]) / 3.6e9

@@ -65,8 +65,8 @@ def head(line: str) -> bytes:
     """Character classes of the head of a line, not yet collapsed but for white space before it, which may be
     of any length and would push the head out of the part that is looked at."""
     start = line[:HEAD]
-    if start[:1] in _BLANKS:
-        start = " " + line.lstrip(_BLANKS)[: HEAD - 1] if start else ""
+    if start and start[0] in _BLANKS:
+        start = " " + line.lstrip(_BLANKS)[: HEAD - 1]
     return start.encode("utf-8", "replace").translate(_CLASSES)
 
 

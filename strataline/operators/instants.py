@@ -53,37 +53,47 @@ def candidates(parsed: DataFrame, reports: DataFrame) -> DataFrame:
     return joined.mapInArrow(_readings, "report_id bigint, line_number bigint, readings array<bigint>, orders array<tinyint>")
 
 
-def _records(group: pa.Table):
-    """Line numbers and states' instants of a chunk in record order, without repeated lines."""
-    numbers = group.column("line_number").to_numpy()
+#: In place of an instant: the state isn't valid.
+_NONE = np.iinfo(np.int64).min
+
+
+def _records(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line numbers of a chunk in record order, without repeated lines; instants by state, ``_NONE`` where it isn't valid; and the
+    same as numbers for the costs, NaN there.  State 0: day and month as written, 1: exchanged."""
+    g = group.combine_chunks()
+    numbers, at, orders = g.column("line_number").to_numpy(), *(g.column(c).chunk(0) for c in ("readings", "orders"))
+    row = np.repeat(np.arange(len(numbers)), np.diff(at.offsets.to_numpy()))
+    values, state = at.flatten().to_numpy(), orders.flatten().to_numpy()
+    states = np.full((len(numbers), 2), _NONE)
+    sure = state < 0
+    states[row[sure]] = values[sure, None]
+    states[row[~sure], state[~sure]] = values[~sure]
     order = np.argsort(numbers, kind="stable")
     order = order[np.r_[True, np.diff(numbers[order]) != 0]]
-    at, orders = group.column("readings").to_pylist(), group.column("orders").to_pylist()
-    picked = [(at[i], orders[i]) for i in order]
-    return numbers[order], picked, C._times(picked)
+    return numbers[order], states[order], _as_costs(states[order])
+
+
+def _as_costs(states: np.ndarray) -> np.ndarray:
+    t = states.astype(float)
+    t[states == _NONE] = np.nan
+    return t
 
 
 def _summarise(key, group):
-    _, picked, t = _records(group)
-    m = C.matrix(t)
-    ends = [picked[0][0], picked[0][1], picked[-1][0], picked[-1][1]]
-    row = [key[0], key[1], *([x] for x in ends), [m[0][0], m[0][1], m[1][0], m[1][1]]]
-    return pa.table({"report_id": [row[0].as_py()], "chunk": [row[1].as_py()], "first_at": row[2], "first_orders": row[3], "last_at": row[4], "last_orders": row[5], "cost": [row[6]]}, schema=_SUMMARY_SCHEMA)
+    _, states, t = _records(group)
+    row = [key[0].as_py(), key[1].as_py(), states[0].tolist(), states[-1].tolist(), sum(C.matrix(t), [])]
+    return pa.Table.from_arrays([pa.array([x], k.type) for x, k in zip(row, _SUMMARY_SCHEMA)], schema=_SUMMARY_SCHEMA)
 
 
-_SUMMARY = "report_id bigint, chunk bigint, first_at array<bigint>, first_orders array<tinyint>, last_at array<bigint>, last_orders array<tinyint>, cost array<double>"
-_SUMMARY_SCHEMA = pa.schema(
-    [("report_id", pa.int64()), ("chunk", pa.int64()), ("first_at", pa.list_(pa.int64())), ("first_orders", pa.list_(pa.int8())), ("last_at", pa.list_(pa.int64())), ("last_orders", pa.list_(pa.int8())), ("cost", pa.list_(pa.float64()))]
-)
+_SUMMARY = "report_id bigint, chunk bigint, first_at array<bigint>, last_at array<bigint>, cost array<double>"
+_SUMMARY_SCHEMA = pa.schema([("report_id", pa.int64()), ("chunk", pa.int64()), ("first_at", pa.list_(pa.int64())), ("last_at", pa.list_(pa.int64())), ("cost", pa.list_(pa.float64()))])
 
 
 def _join_chunks(key, group):
     """States at both ends of each chunk of one source."""
     g = group.sort_by("chunk").to_pylist()
-    firsts = C._times([(r["first_at"], r["first_orders"]) for r in g])
-    lasts = C._times([(r["last_at"], r["last_orders"]) for r in g])
     # records first, last, first, last ...; inside a chunk the matrix is the cost of the step
-    t = np.stack([firsts, lasts], 1).reshape(-1, 2)
+    t = _as_costs(np.array([x for r in g for x in (r["first_at"], r["last_at"])]))
     cost = C.steps(t)
     for i, r in enumerate(g):
         cost[2 * i] = np.minimum(np.array(r["cost"]).reshape(2, 2), C.NEVER)
@@ -97,14 +107,13 @@ _ENDS_SCHEMA = pa.schema([("report_id", pa.int64()), ("chunk", pa.int64()), ("fi
 
 
 def _choose(key, group):
-    numbers, picked, t = _records(group)
-    if all(len(at) == 1 for at, _ in picked):
-        chosen = [at[0] for at, _ in picked]
-    else:
-        first, last = group.column("first")[0].as_py(), group.column("last")[0].as_py()
-        path = C.solve(t, first, last)
-        chosen = [at[0] if len(at) == 1 else at[orders.index(s)] for (at, orders), s in zip(picked, path)]
-    return pa.table({"report_id": pa.repeat(key[0], len(numbers)), "line_number": numbers, "utc_micros": pa.array(chosen, pa.int64())}, schema=_CHOSEN_SCHEMA)
+    numbers, states, t = _records(group)
+    chosen = np.where(states[:, 0] == _NONE, states[:, 1], states[:, 0])
+    open_ = (states != _NONE).all(axis=1) & (states[:, 0] != states[:, 1])
+    if open_.any():
+        path = np.array(C.solve(t, group.column("first")[0].as_py(), group.column("last")[0].as_py()))
+        chosen = np.where(open_, states[np.arange(len(path)), path], chosen)
+    return pa.table({"report_id": pa.repeat(key[0], len(numbers)), "line_number": numbers, "utc_micros": chosen}, schema=_CHOSEN_SCHEMA)
 
 
 _CHOSEN_SCHEMA = pa.schema([("report_id", pa.int64()), ("line_number", pa.int64()), ("utc_micros", pa.int64())])
