@@ -3,11 +3,12 @@
 Exact offset chunking:
 
 1. Rows are range-partitioned by (key, report, line), so that a heavy key is spread over as many
-   partitions as its rows need; equal rows meet in one partition, where repeats go.
+   partitions as its rows need, and sorted there.  Equal rows meet in one partition, next to each other; repeats
+   go, and rows are numbered within (partition, key), in one streaming pass.
 2. Keys are counted per partition (partial aggregation; a few rows a partition), and running
    sums of the counts in partition order are the exact offsets of each partition in each key.
-3. Rows are numbered within (partition, key) and the offset is added: every row has its exact
-   ordinal in its key, found without sorting any key in one task.
+3. The offset is added to a row's number: every row has its exact
+   ordinal in its key, found by one shuffle and without any key in one task.
 4. Ordinals cut each key into chunks of equal size; each chunk is aggregated alone.
 5. The chunks' ordered states (count, first and last report and line, distinct reports, widest gap)
    are merged in order; what two neighbours share at their border counts once.
@@ -15,6 +16,11 @@ Exact offset chunking:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,23 +31,37 @@ from strataline.session import materialize, small
 KEY_CHUNK = 100_000
 
 
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one partition in order: without repeats, with their number in (partition, key) and whether the row before is of
+    the same key and report."""
+    last, n = None, 0  # the row before, and how many distinct rows of its key there were
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, report, line = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
+        same_key = np.r_[last is not None and key[0].as_py() == last[0], pc.equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)]
+        same_report = same_key & np.r_[last is not None and report[0] == last[1], report[1:] == report[:-1]]
+        kept = ~(same_report & np.r_[last is not None and line[0] == last[2], line[1:] == line[:-1]])
+        count = np.cumsum(kept)
+        begun = np.maximum.accumulate(np.where(same_key, -1, np.arange(len(line))))  # where the key begins in this batch
+        number = count - np.where(begun >= 0, count[begun] - 1, -n)
+        last, n = (key[-1].as_py(), report[-1], line[-1]), int(number[-1])
+        index = pa.array(np.flatnonzero(kept))
+        yield pa.RecordBatch.from_arrays([c.take(index) for c in (*b.columns, pa.array(number), pa.array(same_report))], [*b.schema.names, "_row", "same_report"])
+
+
 def number_hits(hits: DataFrame, name: str = "hits") -> DataFrame:
     """Distinct ``key_name, report_id, line_number`` of ``hits``, with ``hit_no``: its exact ordinal, from 1, in its key
-    ordered by report and line."""
+    ordered by report and line; ``part``: the partition it lies in; ``same_report``: whether the row before is of its report.
+    Rows with a null aren't hits."""
     keys = ["key_name", "report_id", "line_number"]
-    placed = materialize(
-        hits.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id()), name
-    )
-    counts = placed.groupBy("key_name", "part").agg(F.count("*").alias("n"))
+    ordered = hits.select(F.col("key_name").cast("string"), *(F.col(c).cast("bigint") for c in keys[1:])).dropna().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_number, "key_name string, report_id bigint, line_number bigint, part int, _row bigint, same_report boolean")
+    placed = materialize(rows, name)
+    counts = placed.groupBy("key_name", "part").agg(F.max("_row").alias("n"))
     before = Window.partitionBy("key_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("key_name", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("key_name", "part").orderBy("report_id", "line_number")
-    numbered = (
-        placed.withColumn("_row", F.row_number().over(within))
-        .withColumn("_same", F.coalesce(F.lag("report_id").over(within) == F.col("report_id"), F.lit(False)))
-        .join(small(offsets), ["key_name", "part"])
-    )
-    return numbered.select(*keys, "part", (F.col("_row") + F.col("offset")).cast("bigint").alias("hit_no"), F.col("_same").alias("same_report"))
+    return placed.join(small(offsets), ["key_name", "part"]).select(*keys, "part", (F.col("_row") + F.col("offset")).alias("hit_no"), "same_report")
 
 
 def chunk_states(numbered: DataFrame, chunk: int = KEY_CHUNK) -> DataFrame:
@@ -81,8 +101,7 @@ def key_results(hits: DataFrame, name: str = "hits", chunk: int = KEY_CHUNK) ->
     Hits are distinct; rows with a null in any of the three columns aren't hits.  An empty table
     gives no rows.
     """
-    whole = hits.where("key_name is not null and report_id is not null and line_number is not null")
-    return merge_states(chunk_states(number_hits(whole, name), chunk))
+    return merge_states(chunk_states(number_hits(hits, name), chunk))
 
 
 def keyword_hits(index: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import random
 
-from strataline.operators.heavykeys import heavy_keys, key_results, number_hits
+import pyarrow as pa
+
+from strataline.operators.heavykeys import _number, heavy_keys, key_results, number_hits
 
 
 def test_results_equal_brute_force(spark):
@@ -29,3 +31,19 @@ def test_heavy_keys(spark):
     custom = spark.createDataFrame([("q", 1, [1, 1, None, 3], "k"), ("q", 1, [3], "k"), ("r", 1, [], "k"), ("s", 1, None, "k"), ("t", 2, list(range(40)), "k"), (None, 2, [1], "k")], "query_name string, report_id long, line_numbers array<long>, key_name string")
     assert sorted(map(tuple, heavy_keys(enhanced, custom).collect())) == [("custom_index", "t"), ("enhanced_index", "hot")]
     assert heavy_keys(enhanced.limit(0), custom.limit(0)).count() == 0
+
+
+def test_numbers_do_not_depend_on_batches():
+    r = random.Random(3)
+    rows = sorted((r.choice("abc"), r.randrange(3), r.randrange(6)) for _ in range(90))
+    want, n = [], {}
+    for i, x in enumerate(rows):
+        if i == 0 or rows[i - 1] != x:
+            n[x[0]] = n.get(x[0], 0) + 1
+            want.append((*x, 0, n[x[0]], i > 0 and rows[i - 1][:2] == x[:2]))
+    names = ["key_name", "report_id", "line_number", "part"]
+    for _ in range(30):
+        cuts = sorted(r.randrange(91) for _ in range(r.randrange(12)))
+        parts = [rows[a:z] for a, z in zip([0, *cuts], [*cuts, 90])]
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[k] for x in p], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))] + [pa.array([0] * len(p), pa.int32())], names) for p in parts]
+        assert [tuple(x.values()) for b in _number(iter(batches)) for x in b.to_pylist()] == want
