@@ -11,7 +11,7 @@ from strataline.functions.textnorm import like_python
 from strataline.operators.catalog import RECORD_TYPES
 from strataline.operators.sections import report_ends
 from strataline.session import CHUNK_LINES, small
-from strataline.sources.lines import running_before
+from strataline.sources.lines import once, running_before
 
 # Kind of block, priority, what opens it, what closes it (None: each line is its own block).
 BLOCK_KINDS = (
@@ -38,13 +38,13 @@ def _carried(lines: DataFrame, flagged: Column, name: str, size: int = CHUNK_LIN
     return chunked.withColumn("_in", F.max("_flag").over(inside)).join(small(carry), ["report_id", "_chunk"]).withColumn(name, F.coalesce("_in", "_carry")).drop("_chunk", "_flag", "_in", "_carry")
 
 
-def record_blocks(lines: DataFrame, kinds=BLOCK_KINDS) -> DataFrame:
+def record_blocks(lines: DataFrame, kinds=BLOCK_KINDS, unique: bool = True) -> DataFrame:
     """``report_id, type, start_line, end_line, priority``: a line that opens a block closes any open one on the line
-    before; a line that closes the open block's kind is its last; the end of the report closes."""
+    before; a line that closes the open block's kind is its last; the end of the report closes.  ``unique``: no line is repeated."""
     content = F.col("content")
     opens = F.coalesce(*[F.when(content.rlike(like_python(start)), F.lit(i)) for i, (_, _, start, _) in enumerate(kinds)])
     marked = lines.select("report_id", "line_number", opens.alias("_kind"), F.array_compact(F.array(*[F.when(content.rlike(like_python(end)), F.lit(i)) for i, (_, _, _, end) in enumerate(kinds) if end])).alias("_ends"))
-    owned = _carried(marked, F.col("_kind").isNotNull(), "start_line").where("start_line is not null")
+    owned = _carried(once(marked, unique), F.col("_kind").isNotNull(), "start_line").where("start_line is not null")
     kind = F.max(F.when(F.col("line_number") == F.col("start_line"), F.col("_kind")))
     first_end = lambda i: F.min(F.when((F.col("line_number") > F.col("start_line")) & F.array_contains("_ends", i), F.col("line_number")))
     grouped = owned.groupBy("report_id", "start_line").agg(kind.alias("_kind"), F.max("line_number").alias("_last"), *[first_end(i).alias(f"_end{i}") for i, k in enumerate(kinds) if k[3]])
@@ -95,17 +95,18 @@ def strategy(size_mb: Column) -> Column:
     return F.when(size_mb < FINE_MB, "fine").when(size_mb < RECORD_MB, "record").otherwise("chapter")
 
 
-def chapter_chunks(lines: DataFrame, markers=CHAPTER_MARKERS) -> DataFrame:
+def chapter_chunks(lines: DataFrame, markers=CHAPTER_MARKERS, unique: bool = True) -> DataFrame:
     """``report_id, start_line, end_line, n_lines, n_bytes, chapter``: a chunk starts at each line that begins like a chapter;
-    what goes before the first is ``header``."""
+    what goes before the first is ``header``.  ``unique``: no line is repeated."""
     begins = F.lit(False)
     trimmed = F.ltrim("content")
     for m in markers:
         begins = begins | trimmed.startswith(m)
-    owned = _carried(lines.withColumn("_begins", begins), F.col("_begins"), "_start")
+    sized = lines.select("report_id", "line_number", begins.alias("_begins"), F.octet_length("content").alias("_size"), F.when(begins, F.trim("content")).alias("_title"))
+    owned = _carried(once(sized, unique), F.col("_begins"), "_start")
     return owned.groupBy("report_id", F.coalesce("_start", F.lit(0)).alias("_start")).agg(
-        F.min("line_number").alias("start_line"), F.max("line_number").alias("end_line"), F.count("*").alias("n_lines"), F.sum(F.octet_length("content")).alias("n_bytes"),
-        F.when(F.max("_start").isNull(), "header").otherwise(F.max(F.when(F.col("_begins"), F.trim("content")))).alias("chapter"),
+        F.min("line_number").alias("start_line"), F.max("line_number").alias("end_line"), F.count("*").alias("n_lines"), F.sum("_size").alias("n_bytes"),
+        F.when(F.max("_start").isNull(), "header").otherwise(F.max("_title")).alias("chapter"),
     ).drop("_start")
 
 
@@ -114,14 +115,14 @@ def fine_chunks(blocks: DataFrame, least: int = LEAST_LINES) -> DataFrame:
     return blocks.where(F.col("end_line") - F.col("start_line") + 1 >= least)
 
 
-def record_chunks(lines: DataFrame, most: int) -> DataFrame:
+def record_chunks(lines: DataFrame, most: int, unique: bool = True) -> DataFrame:
     """``report_id, chunk_no, start_line, end_line, n_bytes``: a report in buckets of ``most`` bytes by running size.
 
     A line goes to the bucket its first byte falls in, so every bucket but those around a longer line has
     between ``most`` less one line and ``most`` plus one line of bytes.  Buckets by running sums need no
     sequential pass over a report.
     """
-    sized = lines.select("report_id", "line_number", (F.octet_length("content") + 1).cast("bigint").alias("_size"))
+    sized = once(lines.select("report_id", "line_number", (F.octet_length("content") + 1).cast("bigint").alias("_size")), unique)
     placed = running_before(sized, "_size")
     grouped = placed.groupBy("report_id", F.floor(F.col("before") / F.lit(most)).cast("bigint").alias("chunk_no"))
     return grouped.agg(F.min("line_number").alias("start_line"), F.max("line_number").alias("end_line"), F.sum("_size").alias("n_bytes"))

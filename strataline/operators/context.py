@@ -33,8 +33,8 @@ def context_lines(lines: DataFrame, hits: DataFrame, before: int = DEFAULT_BEFOR
     if tolerant:
         joined = joined.where("content is not null or line_number = hit_line").withColumn("content", F.coalesce("content", F.lit("")))
     else:
-        present = text.select("report_id", F.col("line_number").alias("hit_line"))
-        joined = joined.join(present, ["report_id", "hit_line"], "left_semi")
+        there = F.max(F.col("line_number") == F.col("hit_line")).over(Window.partitionBy("report_id", "hit_line"))
+        joined = joined.withColumn("_there", there).where("_there").drop("_there")
     return joined.select("report_id", "hit_line", side.alias("side"), "line_number", "content")
 
 

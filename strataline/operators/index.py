@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.session import small
+
 #: Words a token index leaves out, and the longest length it leaves out. Fixed values.
 STOP_WORDS = ("the", "a", "an", "and", "or", "in", "on", "at", "to", "for")
 SHORT = 2
@@ -20,7 +22,7 @@ def keyword_index(lines: DataFrame, keywords: list[str], keys: tuple[str, ...] =
         return lines.select(F.lit("").alias("keyword"), *keys, "line_number").where(F.lit(False))
     low = F.lower("content")
     hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words]))
-    return lines.select(F.explode(hits).alias("keyword"), *keys, "line_number")
+    return lines.where(F.size(hits) > 0).select(F.explode(hits).alias("keyword"), *keys, "line_number")
 
 
 def keyword_counts(index: DataFrame, keywords: list[str]) -> DataFrame:
@@ -28,7 +30,7 @@ def keyword_counts(index: DataFrame, keywords: list[str]) -> DataFrame:
     spark = index.sparkSession
     every = spark.createDataFrame([(k,) for k in sorted({k.lower() for k in keywords})], "keyword string")
     counts = index.groupBy("keyword").agg(F.count("*").alias("n_hits"))
-    return every.join(F.broadcast(counts) if len(keywords) < 100_000 else counts, "keyword", "left").select("keyword", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"))
+    return every.join(small(counts), "keyword", "left").select("keyword", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"))
 
 
 def wide_index(index: DataFrame) -> DataFrame:

@@ -91,13 +91,14 @@ def report_ends(lines: DataFrame) -> DataFrame:
     return lines.groupBy("report_id").agg(F.max("line_number").alias("report_end"))
 
 
-def covering(lines: DataFrame, sections: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
+def covering(lines: DataFrame, sections: DataFrame, size: int = CHUNK_LINES, ends: DataFrame | None = None) -> DataFrame:
     """``lines`` with ``start_line`` (and the rest) of every section that covers them.
 
     Sections are laid over chunks of line numbers, so that the join is one on (report, chunk);
-    no line meets a section of another chunk.  An end of 0 is the report's last line.
+    no line meets a section of another chunk.  An end of 0 is the report's last line,
+    that of ``ends(report_id, report_end)`` if ``lines`` are only some of the report's.
     """
-    ends = report_ends(lines)
+    ends = report_ends(lines) if ends is None else ends
     chunk = lambda c: F.floor(c / F.lit(size)).cast("bigint")
     laid = (
         sections.join(small(ends), "report_id")
@@ -115,7 +116,7 @@ def subsections_in(lines: DataFrame, parents: DataFrame, patterns: dict[str, lis
     Adds ``pattern`` and ``parent_section``.
     """
     named = parents.where(F.col("name").isin(*patterns)).select("report_id", F.col("name").alias("parent_section"), "start_line", "end_line")
-    inside = covering(lines, named)
+    inside = covering(lines.where(_first_match(F.col("content"), [p for v in patterns.values() for p in v]).isNotNull()), named, ends=report_ends(lines))
     ends = covering(lines.select("report_id", "line_number"), named).groupBy("report_id", "start_line").agg(F.max("line_number").alias("_parent_end"))
     found = F.coalesce(*[F.when(F.col("parent_section") == k, _first_match(F.col("content"), v)) for k, v in patterns.items()])
     hits = inside.withColumn("_m", found).where("_m is not null")

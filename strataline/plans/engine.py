@@ -39,6 +39,15 @@ def _lines(spark, d) -> DataFrame:
     return L.report_lines(table(spark, d, "query_results"))
 
 
+def _rows(spark, d) -> DataFrame:
+    """Lines with their repeats, for what shuffles less than their text."""
+    return L.line_rows(table(spark, d, "query_results"))
+
+
+def _places(spark, d) -> DataFrame:
+    return L.places(table(spark, d, "query_results"))
+
+
 # ------------------------------------------------------------------ lines
 @named(f"with {_LINES} select * from lines")
 def report_lines(spark, d):
@@ -57,13 +66,13 @@ def line_point(spark, d):
 
 @named(f"with {_LINES} select report_id, count(*) n_lines from lines group by 1")
 def line_count(spark, d):
-    return L.line_counts(_lines(spark, d))
+    return L.line_counts(_places(spark, d))
 
 
 @named(f"""with {_LINES} select report_id, line_number, cast(coalesce(sum(octet_length(encode(content)) + 1)
     over (partition by report_id order by line_number rows between unbounded preceding and 1 preceding), 0) as bigint) byte_offset from lines""")
 def byte_offsets(spark, d):
-    return L.byte_offsets(_lines(spark, d))
+    return L.byte_offsets(_rows(spark, d), unique=False)
 
 
 @named(f"""with {_LINES}, stop as (select report_id, min(line_number) s from lines where regexp_matches(content, 'was the duration of') group by 1)
@@ -175,8 +184,7 @@ def section_tree(spark, d):
 @named(f"""with {_SECTIONS} select l.report_id, l.line_number, s.start_line section_start, s.name
     from lines l asof join secs s on l.report_id = s.report_id and l.line_number >= s.start_line""")
 def line_sections(spark, d):
-    lines = _lines(spark, d)
-    found = sections.covering(lines.select("report_id", "line_number"), sections.detect_sections(lines).select("report_id", "start_line", "end_line", "name"))
+    found = sections.covering(_places(spark, d), _sections(spark, d).select("report_id", "start_line", "end_line", "name"))
     return found.select("report_id", "line_number", F.col("start_line").alias("section_start"), "name")
 
 
@@ -245,8 +253,7 @@ def custom_regex(spark, d):
     select distinct l.* from lines l join secs s on l.report_id = s.report_id join ends on l.report_id = ends.report_id
     where contains(lower(name), 'kernel') and line_number between start_line and case when end_line = 0 then e else end_line end""")
 def custom_section(spark, d):
-    lines = _lines(spark, d)
-    return query.section_matches(lines, sections.detect_sections(lines), "Kernel")
+    return query.section_matches(_rows(spark, d), _sections(spark, d), "Kernel")
 
 
 _MANY = f"""{_LINES}, q as materialized (select * from custom_queries where enabled and pattern <> '' and name <> 'broken_regex'),
@@ -301,8 +308,7 @@ def index_query_reverse(spark, d):
       regexp_replace(content, '[\\s\\p{{Z}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x0b]+$', '') as content
     from h join lines l on l.report_id = h.report_id and l.line_number between hit_line - 2 and hit_line + 2""")
 def context_window(spark, d):
-    lines = _lines(spark, d)
-    return context.context_lines(lines, query.keyword_lines(lines, "policy denies"), 2, 2)
+    return context.context_lines(_rows(spark, d), query.keyword_lines(_rows(spark, d), "policy denies"), 2, 2).distinct()
 
 
 @named(f"""with {_LINES}, h as (select report_id, total_lines - 1 hit_line from reports union select report_id, total_lines + 5 from reports)
@@ -312,7 +318,7 @@ def context_window(spark, d):
     union all select h.report_id, hit_line, 'hit', hit_line, '' from h where not exists (from lines l where l.report_id = h.report_id and l.line_number = hit_line)""")
 def context_tolerant(spark, d):
     ends = table(spark, d, "reports").select("report_id", F.explode(F.array(F.col("total_lines") - 1, F.col("total_lines") + 5)).alias("line_number"))
-    return context.context_lines(_lines(spark, d), ends, 1, 1, tolerant=True)
+    return context.context_lines(_rows(spark, d), ends, 1, 1, tolerant=True).distinct()
 
 
 _PAGES = f"""{_MANY}, p as (select query_name, (row_number() over (partition by query_name order by report_id, line_number) - 1) // 116 + 1 as part, report_id, line_number from hits)"""
@@ -437,7 +443,7 @@ _BLOCKS = f"""{_LINES}, opened as (select *, case {_OPENS} end o from lines),
 
 
 def _blocks(spark, d) -> DataFrame:
-    return blocks.record_blocks(_lines(spark, d))
+    return blocks.record_blocks(_rows(spark, d), unique=False)
 
 
 @named(f"with {_BLOCKS} select * from blocks_")
@@ -472,7 +478,7 @@ def record_types(spark, d):
 @named(f"""with {_LINES}, mb as (select report_id, sum(octet_length(encode(content)) + 1) / 1e6 mb from lines group by 1)
     select report_id, case when mb < 10 then 'fine' when mb < 100 then 'record' else 'chapter' end strategy from mb""")
 def chunk_strategy(spark, d):
-    sized = _lines(spark, d).groupBy("report_id").agg((F.sum(F.octet_length("content") + 1) / 1e6).alias("mb"))
+    sized = _rows(spark, d).select("report_id", "line_number", (F.octet_length("content") + 1).alias("n")).distinct().groupBy("report_id").agg((F.sum("n") / 1e6).alias("mb"))
     return sized.select("report_id", blocks.strategy(F.col("mb")).alias("strategy"))
 
 
@@ -484,7 +490,7 @@ _CHAPTER = " or ".join(f"starts_with(ltrim(content), '{m}')" for m in blocks.CHA
   select report_id, min(line_number) start_line, max(line_number) end_line, count(*) n_lines, cast(sum(octet_length(encode(content))) as bigint) n_bytes,
     case when s = 0 then 'header' else max(case when bg then trim(content) end) end chapter from o group by report_id, s""")
 def chapter_chunks(spark, d):
-    return blocks.chapter_chunks(_lines(spark, d))
+    return blocks.chapter_chunks(_rows(spark, d), unique=False)
 
 
 _CHUNKS = f"""{_LINES}, o as (select report_id, line_number, octet_length(encode(content)) + 1 b, coalesce(sum(octet_length(encode(content)) + 1)
@@ -494,12 +500,12 @@ _CHUNKS = f"""{_LINES}, o as (select report_id, line_number, octet_length(encode
 
 @named(f"with {_CHUNKS} select * from chunks")
 def record_chunks(spark, d):
-    return blocks.record_chunks(_lines(spark, d), 8192)
+    return blocks.record_chunks(_rows(spark, d), 8192, unique=False)
 
 
 @named(f"with {_CHUNKS} select report_id, count(*) n_chunks, cast(sum(n_bytes) as bigint) n_bytes from chunks group by 1")
 def chunk_stats(spark, d):
-    return blocks.record_chunks(_lines(spark, d), 8192).groupBy("report_id").agg(F.count("*").alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"))
+    return blocks.record_chunks(_rows(spark, d), 8192, unique=False).groupBy("report_id").agg(F.count("*").alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"))
 
 
 @named("select doc_id, md5(text) md5, sha256(text) sha256 from documents")
@@ -539,7 +545,7 @@ def gap_repair(spark, d):
 
 @named(f"""with {_LINES}, t as (select report_id, line_number, content from lines) select report_id, line_number, regexp_matches(content, '^\\d{{2}}-\\d{{2}}\\s+\\d{{2}}:\\d{{2}}:\\d{{2}}') is_whole from t""")
 def record_completeness(spark, d):
-    return _lines(spark, d).select("report_id", "line_number", blocks.complete(F.lit("logcat"), F.col("content")).alias("is_whole"))
+    return _rows(spark, d).select("report_id", "line_number", blocks.complete(F.lit("logcat"), F.col("content")).alias("is_whole")).distinct()
 
 
 _NUMBER = r"try_cast(nullif(regexp_extract(content, '(\d+(?:\.\d+)?)\s*(?:ms|frames|count)', 1), '') as double)"

@@ -41,9 +41,25 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
 def report_lines(results: DataFrame) -> DataFrame:
     """Each line of the query results once: ``report_id, line_number, content``.
 
-    The non-null copies of a line are equal; a line with none has no row.
+    The non-null copies of a line are equal, so repeats are whole rows, and what is asked of a line is asked before
+    they are removed: only the lines that meet it are shuffled.  A line with no content has no row.
     """
-    return results.where("content is not null and report_id is not null and line_number is not null").groupBy("report_id", "line_number").agg(F.max("content").alias("content"))
+    return line_rows(results).distinct()
+
+
+def line_rows(results: DataFrame) -> DataFrame:
+    """The rows of the query results that carry a line's text, repeats included: for operators that shuffle less than the text."""
+    return results.where("content is not null and report_id is not null and line_number is not null").select("report_id", "line_number", "content")
+
+
+def places(results: DataFrame) -> DataFrame:
+    """``report_id, line_number`` of each line once."""
+    return line_rows(results).select("report_id", "line_number").distinct()
+
+
+def once(df: DataFrame, unique: bool) -> DataFrame:
+    """``df``, without repeats unless its lines are ``unique`` already."""
+    return df if unique else df.distinct()
 
 
 def line_range(lines: DataFrame, first: int, last: int) -> DataFrame:
@@ -92,7 +108,7 @@ def running_before(df: DataFrame, value: str, by: str = SOURCE, size: int = CHUN
     return summed.join(small(totals), [by, "_chunk"]).withColumn("before", (F.col("_in") + F.col("_base")).cast("bigint")).drop("_in", "_base", "_chunk")
 
 
-def byte_offsets(lines: DataFrame, terminator: int = 1) -> DataFrame:
-    """``report_id, line_number, byte_offset`` of each line in a file of these lines."""
-    sized = lines.select(SOURCE, "line_number", (F.octet_length("content") + terminator).cast("bigint").alias("_size"))
+def byte_offsets(lines: DataFrame, terminator: int = 1, unique: bool = True) -> DataFrame:
+    """``report_id, line_number, byte_offset`` of each line in a file of these lines; ``unique``: no line is repeated."""
+    sized = once(lines.select(SOURCE, "line_number", (F.octet_length("content") + terminator).cast("bigint").alias("_size")), unique)
     return running_before(sized, "_size").select(SOURCE, "line_number", F.col("before").alias("byte_offset"))
