@@ -12,7 +12,7 @@ unlabelled ones that the first terms give exactly one subject, which brings in t
 beside known ones.  Only the labelled documents of the fit are a sample, of at most about ``SAMPLE``
 drawn by a hash of their ids; the second fit and scoring cover every document whole.  Sentences are taken
 out once, in one pass over the corpus, and written.  Terms are matched by one automaton over all of them, built once a
-worker.  Where nothing is labelled, a short list of fixed terms takes the place of curated ones.
+worker.  Where the labels give no term, a short list of fixed terms takes the place of curated ones.
 """
 
 from __future__ import annotations
@@ -209,13 +209,14 @@ def fit_terms(own: DataFrame, named: DataFrame, sample: int = SAMPLE) -> dict[st
     kind = "term string, subject string, n bigint"
     per_doc = named.where(~held_out()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("subject").alias("subject")).where("n = 1").select("doc_id", "subject")
     n, every = per_doc.count(), own.count()
+    fixed = {term: (subject, 2.0) for subject, terms in CORE.items() for term in terms.split(", ")}
     if not n:
-        return {term: (subject, 2.0) for subject, terms in CORE.items() for term in terms.split(", ")}
+        return fixed
     told = materialize(own.join(small(_sampled(per_doc, n, sample)), "doc_id").select("own", "subject").mapInArrow(_told, kind), "told")
     total = max(min(n, sample), 2)
-    shared = own.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, curate(told, total)))
+    shared = own.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, curate(told, total) or fixed))
     others = own.join(small(named.select("doc_id").distinct()), "doc_id", "left_anti").select("own")
-    return curate(told.unionByName(others.mapInArrow(_guesser(shared), kind)), total + every)
+    return curate(told.unionByName(others.mapInArrow(_guesser(shared), kind)), total + every) or fixed
 
 
 def automaton(weights: dict[str, tuple[str, float]]):
@@ -223,7 +224,7 @@ def automaton(weights: dict[str, tuple[str, float]]):
     for term, value in weights.items():
         auto.add_word(f" {term} ", value)
     auto.make_automaton()
-    return auto
+    return auto if weights else None
 
 
 _automata: dict[str, ahocorasick.Automaton] = {}
@@ -239,7 +240,7 @@ def worker_terms(key: str, weights: dict[str, tuple[str, float]]):
 
 def shares(own: str, auto) -> dict[str, float]:
     """Share of a document's own sentences, one a line, that treat each subject."""
-    if not own:
+    if not own or auto is None:
         return {}
     treated: dict[str, int] = {}
     sentences = own.split("\n")

@@ -71,3 +71,10 @@ def test_each_subject_has_a_threshold_of_its_own(spark):
     labels = [(i, s) for i in range(3000) for s in ("power", "audio") if s == "audio" or not i % 2]
     limits = calibrate(spark.createDataFrame(rows, "doc_id long, subject string, share double"), spark.createDataFrame(labels, "doc_id long, subject string"))
     assert limits["power"] > 0.3 and limits["audio"] <= 0.15
+
+
+def test_labels_that_give_no_term(spark):
+    docs = [(1, "The page cache grew. The swap area is full. Nothing else came.", "x"), (2, "Only this. And that.", "x")]
+    labels = spark.createDataFrame([(i, "none", "a") for i in range(9)] + [(2, "power", "a")], LABELS)
+    got = document_subjects(spark.createDataFrame(docs, DOCS), labels).select("doc_id", "subject").collect()
+    assert [tuple(r) for r in got] == [(1, "memory")]
