@@ -66,11 +66,11 @@ def _marked(pattern: str) -> bool:
     return all(re.match(r"\^(?:[=\-#]|\\\*)(?![?*]|\{0|\{,)", b) for b in branches)
 
 
-def record_types(lines: DataFrame, patterns=RECORD_TYPES) -> DataFrame:
+def record_types(lines: DataFrame, patterns=RECORD_TYPES, unique: bool = True) -> DataFrame:
     """``report_id, record_type, priority, category, start_line, end_line`` by start and end patterns, which are matched from
     the start of a line: a record ends at the first line after its start that matches its end, or with the report.
 
-    Marks stream by in descending order, so a report with many is no more than sorted.
+    Marks stream by in descending order, so a report with many is no more than sorted.  ``unique``: no line is repeated.
     """
     content = F.col("content")
     begins = F.substring(content, 1, 1).isin("=", "-", "#", "*")
@@ -80,7 +80,8 @@ def record_types(lines: DataFrame, patterns=RECORD_TYPES) -> DataFrame:
     # where every pattern begins like a marker, the other lines never reach them
     tried = lines.where(begins) if all(_marked(p) for r in patterns for p in r[3:5]) else lines
     marks = tried.select("report_id", "line_number", side(3).alias("starts"), side(4).alias("ends"))
-    each = marks.select("report_id", "line_number", "starts", "ends", F.explode(F.array_union("starts", "ends")).alias("record_type"))
+    held = marks.where((F.size("starts") > 0) | (F.size("ends") > 0))
+    each = once(held, unique).select("report_id", "line_number", "starts", "ends", F.explode(F.array_union("starts", "ends")).alias("record_type"))
     is_end = F.array_contains("ends", F.col("record_type"))
     later = Window.partitionBy("report_id", "record_type").orderBy(F.desc("line_number")).rangeBetween(Window.unboundedPreceding, -1)
     both = each.withColumn("end_line", F.min(F.when(is_end, F.col("line_number"))).over(later)).where(F.array_contains("starts", F.col("record_type")))

@@ -113,14 +113,14 @@ def covering(lines: DataFrame, sections: DataFrame, size: int = CHUNK_LINES, end
 def subsections_in(lines: DataFrame, parents: DataFrame, patterns: dict[str, list[dict]]) -> DataFrame:
     """Subsections of each parent section, by the patterns of its name; the last of a parent ends with it.
 
-    Adds ``pattern`` and ``parent_section``.
+    Adds ``pattern`` and ``parent_section``.  Lines may be repeated.
     """
     named = parents.where(F.col("name").isin(*patterns)).select("report_id", F.col("name").alias("parent_section"), "start_line", "end_line")
     inside = covering(lines.where(_first_match(F.col("content"), [p for v in patterns.values() for p in v]).isNotNull()), named, ends=report_ends(lines))
     ends = covering(lines.select("report_id", "line_number"), named).groupBy("report_id", "start_line").agg(F.max("line_number").alias("_parent_end"))
     found = F.coalesce(*[F.when(F.col("parent_section") == k, _first_match(F.col("content"), v)) for k, v in patterns.items()])
     hits = inside.withColumn("_m", found).where("_m is not null")
-    starts = hits.select("report_id", F.col("start_line").alias("parent_start"), "parent_section", F.col("_m.name").alias("name"), F.col("_m.pattern").alias("pattern"), F.col("line_number").alias("start_line"), F.col("_m.priority").alias("priority"), F.col("_m.category").alias("category"))
+    starts = hits.select("report_id", F.col("start_line").alias("parent_start"), "parent_section", F.col("_m.name").alias("name"), F.col("_m.pattern").alias("pattern"), F.col("line_number").alias("start_line"), F.col("_m.priority").alias("priority"), F.col("_m.category").alias("category")).distinct()
     order = Window.partitionBy("report_id", "parent_start").orderBy("start_line")
     ended = starts.withColumn("_next", F.lead("start_line").over(order)).join(small(ends.withColumnRenamed("start_line", "parent_start")), ["report_id", "parent_start"])
     return ended.select("report_id", "parent_section", "parent_start", "name", "pattern", "start_line", F.coalesce(F.col("_next") - 1, F.col("_parent_end")).alias("end_line"), "priority", "category")

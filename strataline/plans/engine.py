@@ -157,9 +157,8 @@ def subsections(spark, d):
     coalesce(lead(line_number) over (partition by report_id, parent_start order by line_number) - 1, e) end_line, c.priority as priority, c.category as category
   from held""")
 def subsections_by_parent(spark, d):
-    lines = _lines(spark, d)
     names = ("SERVICE DUMP CRITICAL (dumpview)", "SERVICE DUMP NORMAL (dumpview)")
-    return sections.subsections_in(lines, sections.detect_sections(lines), {n: _SERVICES for n in names})
+    return sections.subsections_in(_rows(spark, d), _sections(spark, d), {n: _SERVICES for n in names})
 
 
 _BOTH = f"""{_SECTIONS}, {_SUBS}, both_ as (select *, row_number() over (partition by report_id order by start_line, r) as position
@@ -472,7 +471,7 @@ _TYPES_SQL = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in
       coalesce((select min(x.line_number) from m x where x.en and x.report_id = m.report_id and x.record_type = m.record_type and x.line_number > m.line_number), report_end) end_line
     from m join ends using (report_id) where st""")
 def record_types(spark, d):
-    return blocks.record_types(_lines(spark, d), (*catalog.RECORD_TYPES, *_TYPES_OWN))
+    return blocks.record_types(_rows(spark, d), (*catalog.RECORD_TYPES, *_TYPES_OWN), unique=False)
 
 
 @named(f"""with {_LINES}, mb as (select report_id, sum(octet_length(encode(content)) + 1) / 1e6 mb from lines group by 1)
