@@ -29,6 +29,15 @@ def contains_word(content: Column, keyword: str) -> Column:
     return F.contains(F.lower(content), F.lit(keyword.lower()))
 
 
+def contained(content: Column, names: list[str], words: list[str]) -> Column:
+    """Array of the names whose word the content holds, case aside.  The content is put in lower case once, whatever the number of
+    words: as elements of an array it is the variable of a function, which the optimiser doesn't write out again for each."""
+    if not names:
+        return F.array().cast("array<string>")
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w.lower()).alias("word")) for n, w in zip(names, words)])
+    return F.flatten(F.transform(F.array(F.lower(content)), lambda low: F.transform(F.filter(pairs, lambda p: F.contains(low, p["word"])), lambda p: p["name"])))
+
+
 def query_pattern(pattern: str) -> str | None:
     """A user's regular expression in Java's dialect, case-insensitive; None if it doesn't compile."""
     try:

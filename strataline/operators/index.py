@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.functions.textnorm import contained
 from strataline.session import small
 
 #: Words a token index leaves out, and the longest length it leaves out. Fixed values.
@@ -20,8 +21,7 @@ def keyword_index(lines: DataFrame, keywords: list[str], keys: tuple[str, ...] =
     words = sorted({k.lower() for k in keywords if k})
     if not words:
         return lines.select(F.lit("").alias("keyword"), *keys, "line_number").where(F.lit(False))
-    low = F.lower("content")
-    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words]))
+    hits = contained(F.col("content"), words, words)
     return lines.where(F.size(hits) > 0).select(F.explode(hits).alias("keyword"), *keys, "line_number")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from strataline.functions.textnorm import contains_word, query_pattern
+from strataline.functions.textnorm import contained, contains_word, query_pattern
 from strataline.operators.index import keyword_index
 from strataline.operators.matching import EXPRESSIONS, containing, found_in, worker_automaton
 from strataline.operators.sections import covering
@@ -170,8 +170,10 @@ def many(lines: DataFrame, queries: QuerySet, sections: DataFrame | None = None,
     if len(queries.asked("keyword", "regex")) > EXPRESSIONS:
         hits = _many_matched(lines, queries, block)
     else:
-        each = [F.when(c, F.lit(q.name)) for q in queries.queries.values() if (c := condition(q, content)) is not None]
-        names = F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
+        words = queries.asked("keyword")
+        names = contained(content, [q.name for q in words], [q.pattern for q in words])
+        if each := [F.when(c, F.lit(q.name)) for q in queries.asked("regex") if (c := condition(q, content)) is not None]:
+            names = F.concat(names, F.array_compact(F.array(*each)))
         hits = lines.where(F.size(names) > 0).select(F.explode(names).alias("query_name"), "report_id", "line_number")
     of_sections = queries.asked("section") if sections is not None else []
     return hits.unionByName(_section_hits(lines, of_sections, sections)) if of_sections else hits
