@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from strataline.functions.textnorm import query_pattern
 from strataline.operators import catalog, context, index, query, sections
 from strataline.operators.boundaries import MARKERS
-from strataline.session import local_session
+from strataline.session import local_session, release
 from strataline.sources.config import Config, ConfigError, load_indexes, load_queries, save_index
 from strataline.sources.lines import read_text_lines
 
@@ -62,8 +62,11 @@ def load(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     return found
 
 
-def run_queries(spark: SparkSession, out: str, queries: query.QuerySet, before: int, after: int, max_tokens: int, keep_history: bool = False) -> list[dict]:
-    """Run queries and write their pages under ``out/results``; the summary's rows.  A query without hits writes nothing."""
+def run_queries(spark: SparkSession, out: str, queries: query.QuerySet, before: int, after: int, max_tokens: int, keep_history: bool = False, single: bool = False, files: str | None = None) -> list[dict]:
+    """Run queries and write their pages under ``out/results``; the summary's rows.  A query without hits writes nothing.
+
+    ``single``: all results of a query in one place, without pages; ``files``: a local folder for the files users open.
+    """
     have = load(spark, out)
     for q in queries.queries.values():
         if q.type == "regex" and query_pattern(q.pattern) is None:
@@ -72,7 +75,14 @@ def run_queries(spark: SparkSession, out: str, queries: query.QuerySet, before:
     hits = query.many(have["lines"], queries, have["sections"])
     paged = context.pages(hits, context.page_size(max_tokens, before, after))
     nested = context.nested_context(context.context_lines(have["lines"], hits, before, after))
-    return [r.asDict(recursive=True) for r in context.write_pages(spark, paged, nested, root).collect()]
+    about = spark.createDataFrame([(q.name, q.type, q.pattern, q.priority, q.description) for q in queries.queries.values()], "query_name string, type string, pattern string, priority string, description string")
+    results = context.result_rows(paged, about, before, after, max_tokens)
+    written = (context.write_single if single else context.write_pages)(paged, nested, results, root)
+    rows = [r.asDict(recursive=True) for r in written.orderBy("query_name").collect()] if "query_name" in written.columns else []
+    if files and rows:
+        context.export_files(spark, root, files, single)
+    release(spark)
+    return rows
 
 
 def _queries(args) -> query.QuerySet:
@@ -118,6 +128,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         q.add_argument("--context-after", type=int, default=context.DEFAULT_AFTER)
         q.add_argument("--max-tokens", type=int, default=context.DEFAULT_TOKENS)
         q.add_argument("--keep-history", action="store_true")
+        q.add_argument("--single-file", action="store_true", help="all results of a query together, without pages")
+        q.add_argument("--files", metavar="FOLDER", help="write result.json, metadata.json and context/part_k.json there as well")
         q.add_argument("--markers")
         if name == "query":
             q.add_argument("--auto-build", metavar="REPORTS")
@@ -136,7 +148,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if reports:
                 Path(args.out).mkdir(parents=True, exist_ok=True)
                 build(spark, reports, args.out, config)
-            for row in run_queries(spark, args.out, _queries(args), args.context_before, args.context_after, args.max_tokens, args.keep_history):
+            for row in run_queries(spark, args.out, _queries(args), args.context_before, args.context_after, args.max_tokens, args.keep_history, args.single_file, args.files):
                 print(f"{row['query_name']}: {row['total_results']} results in {row['total_parts']} pages")
     except (CliError, ConfigError, FileNotFoundError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,12 +37,15 @@ def local_session(app: str = "strataline", cores: str = "*", partitions: int = 8
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local mode) a temporary folder is made and
-    remembered for the session.
+    Only where that is unset and the master is local (tests) a temporary folder is made,
+    remembered for the session and removed at its end; a cluster must name one, since no machine's own folder is shared.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="strataline-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 

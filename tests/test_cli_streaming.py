@@ -21,6 +21,11 @@ def test_build_query_analyze(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["analyze", src, out, "--config", str(tmp_path / "q.json")], spark) == 0
     assert capsys.readouterr().out.strip() == "s: 4 results in 1 pages"
+    files = tmp_path / "files"
+    assert cli.main(["query", out, "--name", "q", "--pattern", "ANR", "--files", str(files)], spark) == 0
+    assert {p.name for p in files.rglob("*.json")} == {"part_1.json", "result.json", "metadata.json"}
+    assert cli.main(["query", out, "--name", "one", "--pattern", "ANR", "--single-file", "--files", str(files)], spark) == 0
+    assert len(json.loads((files / "one" / "result.json").read_text())["results"]) == 2
 
 
 def test_interactive(spark, tmp_path, capsys):

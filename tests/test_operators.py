@@ -1,5 +1,6 @@
 """The engine's own operators: small cases by hand."""
 
+import json
 from collections import Counter
 
 import pytest
@@ -7,7 +8,7 @@ import pytest
 from strataline.functions.textnorm import query_pattern, stripped, text_pieces
 from strataline.operators import blocks, catalog, context, index, language, query, sections, timing
 from strataline.operators.boundaries import boundaries, is_marker
-from strataline.session import materialize, release, small
+from strataline.session import materialize, release, shared_dir, small
 from strataline.sources import config as C
 from strataline.sources import lines as S
 
@@ -141,8 +142,45 @@ def test_pages_are_written(spark, tmp_path):
     lines = frame(spark, {1: ["a", "b", "a"]})
     hits = index.keyword_index(lines, ["a"]).selectExpr("'q' query_name", "report_id", "line_number")
     nested = context.nested_context(context.context_lines(lines, hits, 1, 1))
-    assert context.write_pages(spark, context.pages(hits, 1), nested, str(tmp_path)).first().total_parts == 2
-    assert context.queries_with_results(str(tmp_path)) == ["q"] and context.read_results(spark, str(tmp_path)).first().total_results == 2
+    about = spark.createDataFrame([("q", "keyword", "a", "LOW", "")], "query_name string, type string, pattern string, priority string, description string")
+    paged, root, out = context.pages(hits, 1), str(tmp_path / "r"), tmp_path / "files"
+    results = context.result_rows(paged, about, 1, 1, 1)
+    assert context.write_pages(paged, nested, results, root).first().total_parts == 2
+    assert context.queries_with_results(spark, root) == ["q"] and context.export_files(spark, root, str(out)) == 4
+    part = json.loads((out / "q" / "context" / "part_2.json").read_text())
+    assert part["pagination"] == {"total_parts": 2, "current_part": 2, "results_in_part": 1} and part["results"][0]["line_number"] == 3
+    assert [x["content"] for x in part["results"][0]["context"]["before"]] == ["b"]
+    result = json.loads((out / "q" / "result.json").read_text())
+    assert (result["query"], result["type"], result["total_matches"], [x["line_number"] for x in result["line_numbers"]]) == ("q", "keyword", 2, [1, 3])
+    assert json.loads((out / "q" / "metadata.json").read_text())["results_per_page"] == 1
+    assert context.write_single(paged, nested, results, root).first().total_parts == 1 and context.export_files(spark, root, str(out / "s"), single=True) == 2
+    assert [x["line_number"] for x in json.loads((out / "s" / "q" / "result.json").read_text())["results"]] == [1, 3]
+
+
+def test_pages_share_files(spark, tmp_path):
+    hits = spark.range(3_000).selectExpr("if(id % 3 = 0, 'p', 'q') query_name", "1L report_id", "id line_number")
+    nested = hits.selectExpr("report_id", "line_number", "'x' content", "struct(array(1L) before, array(2L) after) context")
+    about = spark.createDataFrame([], "query_name string, type string, pattern string, priority string, description string")
+    paged = context.pages(hits, 5)
+    context.write_pages(paged, nested, context.result_rows(paged, about, max_tokens=1400), str(tmp_path))
+    assert len(list((tmp_path / "context").rglob("*.json"))) <= 2 and context.read_pages(spark, str(tmp_path), "p").count() == 200
+    first = context.read_results(spark, str(tmp_path)).where("query_name = 'p'").first()
+    assert [x.line_number for x in first.line_numbers] == list(range(0, 300, 3))
+
+
+def test_a_cluster_names_its_folder(monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Cluster:
+        conf = Conf
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Conf)
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Cluster)
 
 
 def test_times(spark):
