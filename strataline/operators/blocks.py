@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.textnorm import like_python
-from strataline.operators.catalog import RECORD_TYPES
-from strataline.operators.sections import report_ends
+from strataline.operators.catalog import CHUNK_DEFAULT, CHUNK_LEAST, CHUNK_MOST, PRESERVED, RECORD_TYPES
+from strataline.operators.sections import covering, report_ends
 from strataline.session import CHUNK_LINES, small
 from strataline.sources.lines import once, running_before
 
@@ -117,7 +117,7 @@ def fine_chunks(blocks: DataFrame, least: int = LEAST_LINES) -> DataFrame:
 
 
 def record_chunks(lines: DataFrame, most: int, unique: bool = True) -> DataFrame:
-    """``report_id, chunk_no, start_line, end_line, n_bytes``: a report in buckets of ``most`` bytes by running size.
+    """``report_id, chunk_no, start_line, end_line, n_bytes, byte_offset``: a report in buckets of ``most`` bytes by running size.
 
     A line goes to the bucket its first byte falls in, so every bucket but those around a longer line has
     between ``most`` less one line and ``most`` plus one line of bytes.  Buckets by running sums need no
@@ -126,7 +126,26 @@ def record_chunks(lines: DataFrame, most: int, unique: bool = True) -> DataFrame
     sized = once(lines.select("report_id", "line_number", (F.octet_length("content") + 1).cast("bigint").alias("_size")), unique)
     placed = running_before(sized, "_size")
     grouped = placed.groupBy("report_id", F.floor(F.col("before") / F.lit(most)).cast("bigint").alias("chunk_no"))
-    return grouped.agg(F.min("line_number").alias("start_line"), F.max("line_number").alias("end_line"), F.sum("_size").alias("n_bytes"))
+    return grouped.agg(F.min("line_number").alias("start_line"), F.max("line_number").alias("end_line"), F.sum("_size").alias("n_bytes"), F.min("before").alias("byte_offset"))
+
+
+def section_chunks(lines: DataFrame, records: DataFrame, default: int = CHUNK_DEFAULT, least: int = CHUNK_LEAST, most: int = CHUNK_MOST, preserved=PRESERVED, unique: bool = True) -> DataFrame:
+    """``report_id, record_type, record_start, start_line, end_line, n_bytes``: records (``report_id, record_type, start_line,
+    end_line``) in chunks: whole if their type is preserved or they have at most ``most`` bytes, else in buckets of ``default``
+    bytes of the report's running size; a bucket of fewer than ``least`` bytes goes with the one before it in its record.
+    """
+    sized = once(lines.select("report_id", "line_number", (F.octet_length("content") + 1).cast("bigint").alias("_size")), unique)
+    key = ["report_id", "record_type", "record_start"]
+    named = records.select("report_id", "record_type", F.col("start_line").alias("record_start"), "start_line", "end_line").distinct()
+    inside = covering(running_before(sized, "_size"), named)
+    buckets = inside.groupBy(*key, F.floor(F.col("before") / F.lit(default)).alias("_bucket")).agg(
+        F.min("line_number").alias("start_line"), F.max("line_number").alias("end_line"), F.sum("_size").alias("n_bytes")
+    )
+    order = Window.partitionBy(*key).orderBy("_bucket")
+    whole = F.col("record_type").isin(*preserved) | (F.sum("n_bytes").over(Window.partitionBy(*key)) <= most)
+    begins = F.when((F.row_number().over(order) == 1) | (~whole & (F.col("n_bytes") >= least)), 1).otherwise(0)
+    numbered = buckets.withColumn("_begins", begins).withColumn("_chunk", F.sum("_begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*key, "_chunk").agg(F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"), F.sum("n_bytes").alias("n_bytes")).drop("_chunk")
 
 
 def checksums(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -173,8 +192,6 @@ def complete(kind: Column, content: Column) -> Column:
 
 def block_contents(blocks: DataFrame, lines: DataFrame) -> DataFrame:
     """Blocks with ``content_lines array<string>``, in order; a block is as long as its record is."""
-    from strataline.operators.sections import covering
-
     inside = covering(lines, blocks)
     return inside.groupBy("report_id", "type", "start_line", "end_line", "priority").agg(F.sort_array(F.collect_list(F.struct("line_number", "content"))).alias("_l")).withColumn("content_lines", F.col("_l.content")).drop("_l")
 
@@ -183,3 +200,18 @@ def store_chunks(chunks: DataFrame, path: str, fmt: str = "parquet", codec: str
     """Write chunks as parquet or JSON lines, partitioned by record type where there is one."""
     parts = [c for c in ("record_type", "type") if c in chunks.columns][:1]
     chunks.write.mode("overwrite").format({"jsonl": "json"}.get(fmt, fmt)).option("compression", codec).partitionBy(*parts).save(path)
+
+
+def read_chunks(spark, path: str, fmt: str = "parquet", ids: list | None = None, types: list[str] | None = None, times: tuple[str, str] | None = None, id_range: tuple[int, int] | None = None, key: str = "chunk_id") -> DataFrame:
+    """Stored chunks by id, by record type, by time (column ``ts``) and by range of ids, both ends included; all for none.
+    Types are folders, and what else is asked reaches the files' own statistics."""
+    out = spark.read.format({"jsonl": "json"}.get(fmt, fmt)).load(path)
+    if types is not None:
+        out = out.where(F.col("record_type").isin(*types))
+    if ids is not None:
+        out = out.where(F.col(key).isin(*ids))
+    if id_range is not None:
+        out = out.where(F.col(key).between(*id_range))
+    if times is not None:
+        out = out.where(F.col("ts").between(*(F.lit(t).cast("timestamp_ntz") for t in times)))
+    return out

@@ -38,6 +38,16 @@ def wide_index(index: DataFrame) -> DataFrame:
     return index.groupBy("keyword", "report_id").agg(F.sort_array(F.collect_set("line_number")).alias("line_numbers"))
 
 
+def of_types(chunks: DataFrame, *types: str, column: str = "record_type") -> DataFrame:
+    """Chunks of one of the types; a table partitioned by type reads only these."""
+    return chunks.where(F.col(column).isin(*types))
+
+
+def list_types(chunks: DataFrame, column: str = "record_type") -> DataFrame:
+    """``record_type, n_chunks`` of every type there is."""
+    return chunks.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("record_type")).agg(F.count("*").alias("n_chunks"))
+
+
 def token_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``token, key`` of the distinct tokens of each text: runs of letters, digits and underscores in lower case, of
     more than two characters, without stop words."""

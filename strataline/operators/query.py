@@ -237,10 +237,11 @@ def index_query(keyword: str, enhanced: DataFrame, custom: DataFrame, use_preset
 
 
 def index_answer(hits: DataFrame) -> DataFrame:
-    """What an index query answers in all: ``report_id, match_count, sources array<string>``: the counts of both sources summed,
-    and which gave hits, by name in order; queries of the custom index as ``custom:name``."""
-    source = F.when(F.col("source") == "custom", F.concat(F.lit("custom:"), F.coalesce("query_name", F.lit("")))).otherwise(F.col("source"))
-    return hits.groupBy("report_id").agg(F.count("*").alias("match_count"), F.sort_array(F.collect_set(source)).alias("sources"))
+    """What an index query answers for each report: ``report_id, sources array<string>, total_matches``: the indexes that have
+    matches, custom first, and the sum of their counts."""
+    has = lambda source: F.max(F.col("source") == source)
+    sources = F.array_compact(F.array(F.when(F.col("_c"), "custom_index"), F.when(F.col("_p"), "enhanced_index")))
+    return hits.groupBy("report_id").agg(F.count("*").alias("total_matches"), has("custom").alias("_c"), has("preset").alias("_p")).select("report_id", sources.alias("sources"), "total_matches")
 
 
 def composite(chunks: DataFrame, tokens: DataFrame, key: str, types: list[str] | None = None, time_range: tuple[str, str] | None = None, words: list[str] | None = None, any_word: bool = False) -> DataFrame:

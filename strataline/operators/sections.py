@@ -87,6 +87,15 @@ def subsections(lines: DataFrame, patterns: list[dict], first: int | None = None
     return closed(starts, last=last or 0).select(*SECTION_COLUMNS)
 
 
+def whole_file_subsections(lines: DataFrame, patterns: list[dict], open_end: int | None = None) -> DataFrame:
+    """Subsections of whole reports: the last one ends with the report, or at ``open_end`` for what expects a large number there."""
+    found = subsections(lines, patterns)
+    if open_end is not None:
+        return found.withColumn("end_line", F.when(F.col("end_line") == 0, F.lit(open_end).cast("bigint")).otherwise(F.col("end_line")))
+    ended = found.join(small(report_ends(lines)), "report_id")
+    return ended.withColumn("end_line", F.when(F.col("end_line") == 0, F.col("report_end")).otherwise(F.col("end_line"))).select(*SECTION_COLUMNS)
+
+
 def report_ends(lines: DataFrame) -> DataFrame:
     return lines.groupBy("report_id").agg(F.max("line_number").alias("report_end"))
 

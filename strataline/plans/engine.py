@@ -6,7 +6,9 @@ operator's argument.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,9 @@ from pyspark.sql import functions as F
 from strataline.operators import blocks, catalog, context, index, language, query, sections, timing
 from strataline.operators.boundaries import MARKERS, boundaries
 from strataline.plans import expected
-from strataline.session import table
+from strataline.session import shared_dir, table
 from strataline.sources import lines as L
-from strataline.sources.config import Config
+from strataline.sources.config import Config, load_indexes, save_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -301,6 +303,39 @@ def index_query_reverse(spark, d):
     return query.index_query("slow", table(spark, d, "enhanced_index"), table(spark, d, "custom_index"), use_preset=False)
 
 
+@named("""with c as (select report_id, count(*) n from (select report_id, unnest(line_numbers) x from custom_index where (type = 'keyword' and lower(pattern) = 'memory') or (type = 'regex' and pattern = '.')) where x is not null group by 1),
+    p as (select report_id, count(*) n from enhanced_index where lower(keyword) = 'memory' and line_number is not null group by 1)
+    select report_id, case when c.n is null then 'enhanced_index' when p.n is null then 'custom_index' else 'custom_index,enhanced_index' end sources, coalesce(c.n, 0) + coalesce(p.n, 0) total_matches
+    from c full join p using (report_id)""")
+def index_answer(spark, d):
+    return query.index_answer(index_query(spark, d)).withColumn("sources", F.array_join("sources", ","))
+
+
+@named(f"""with {_LINES}, k as (select unnest(['anr', 'i/o on']) keyword) select keyword, report_id, line_number from lines, k where contains(lower(content), keyword)""")
+def routed_queries(spark, d):
+    """One keyword by the index, one by a pass over the lines, as the router decides."""
+    lines = _lines(spark, d)
+    router = query.Router(lines, _KEYWORDS, index.keyword_index(lines, _KEYWORDS))
+    assert router.is_preset("ANR") and not router.is_preset("I/O on")
+    return router.query("ANR").unionByName(router.query("I/O on")).select(F.lower("keyword").alias("keyword"), "report_id", "line_number")
+
+
+@named(f"with {_LINES} select 'anr' keyword, report_id, line_number from lines where line_number <= 50 and contains(lower(content), 'anr')")
+def keyword_index_limited(spark, d):
+    return index.keyword_index(L.up_to(_lines(spark, d), 50), ["ANR"])
+
+
+@named(f"with {_KEY_INDEX}, {_SECTIONS.removeprefix(_LINES + ',')} select 'keywords' name, count(*) n_rows from ki union all select 'sections', count(*) from secs union all select 'queries', null")
+def saved_indexes(spark, d):
+    """Indexes saved and loaded again; one that isn't there is reported."""
+    root = f"{shared_dir(spark)}/indexes-{uuid.uuid4().hex}"
+    save_index(_keyword_index(spark, d), f"{root}/keywords")
+    save_index(_sections(spark, d), f"{root}/sections")
+    found = load_indexes(spark, root)
+    counts = [f.agg(F.count("*").alias("n_rows")) if f is not None else spark.sql("select cast(null as bigint) n_rows") for f in found.values()]
+    return reduce(DataFrame.unionByName, [c.select(F.lit(name).alias("name"), "n_rows") for name, c in zip(found, counts)])
+
+
 # ------------------------------------------------------------------ context and pages
 @named(f"""with {_LINES}, h as (select report_id, line_number hit_line from lines where contains(lower(content), 'policy denies'))
     select h.report_id, hit_line, case when l.line_number < hit_line then 'before' when l.line_number > hit_line then 'after' else 'hit' end side, l.line_number,
@@ -337,6 +372,28 @@ def page_summary(spark, d):
     return context.page_summary(_pages(spark, d))
 
 
+@named(f"""with {_PAGES}, n as (select query_name, part, count(*) results_in_part, min((report_id, line_number)) a from p group by 1, 2)
+    select query_name, part current_part, max(part) over (partition by query_name) total_parts, results_in_part, a[1] first_report, a[2] first_line from n""")
+def written_pages(spark, d):
+    """Pages with their places, as the page sink writes and reads them."""
+    paged = _pages(spark, d)
+    places_ = paged.select("report_id", "line_number").distinct()
+    about = table(spark, d, "custom_queries").where("name is not null").select(F.col("name").alias("query_name"), "type", "pattern", "priority", "description")
+    root = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    context.write_pages(paged, places_, context.result_rows(paged, about), root)
+    first = F.element_at("results", 1)
+    return spark.read.json(f"{root}/context").select("query_name", "pagination.*", first["report_id"].alias("first_report"), first["line_number"].alias("first_line"))
+
+
+@named(f"""with {_PAGES}, f as (select query_name, count(*) total_matches, max(part) total_parts, max(part) + 2 files_created, list((report_id, line_number) order by report_id, line_number)[:100] l from p group by 1)
+    select f.query_name, c.type, total_matches, total_parts, files_created, 116 results_per_part, len(l) n_listed, l[-1][1] last_report, l[-1][2] last_line from f join custom_queries c on c.name = f.query_name""")
+def result_summaries(spark, d):
+    about = table(spark, d, "custom_queries").where("name is not null").select(F.col("name").alias("query_name"), "type", "pattern", "priority", "description")
+    last = F.element_at("line_numbers", -1)
+    rows = context.result_rows(_pages(spark, d), about)
+    return rows.select("query_name", "type", "total_matches", "total_parts", "files_created", "results_per_part", F.size("line_numbers").alias("n_listed"), last["report_id"].alias("last_report"), last["line_number"].alias("last_line"))
+
+
 @named(f"with {_LINES} select report_id, line_number from lines where contains(lower(content), 'wakelock') order by 1, 2 limit 30")
 def first_hits(spark, d):
     return context.first_hits(query.keyword_lines(_lines(spark, d), "wakelock"), 30)
@@ -494,7 +551,7 @@ def chapter_chunks(spark, d):
 
 _CHUNKS = f"""{_LINES}, o as (select report_id, line_number, octet_length(encode(content)) + 1 b, coalesce(sum(octet_length(encode(content)) + 1)
       over (partition by report_id order by line_number rows between unbounded preceding and 1 preceding), 0) before from lines),
-  chunks as (select report_id, cast(before // 8192 as bigint) chunk_no, min(line_number) start_line, max(line_number) end_line, cast(sum(b) as bigint) n_bytes from o group by 1, 2)"""
+  chunks as (select report_id, cast(before // 8192 as bigint) chunk_no, min(line_number) start_line, max(line_number) end_line, cast(sum(b) as bigint) n_bytes, cast(min(before) as bigint) byte_offset from o group by 1, 2)"""
 
 
 @named(f"with {_CHUNKS} select * from chunks")
@@ -507,6 +564,53 @@ def chunk_stats(spark, d):
     return blocks.record_chunks(_rows(spark, d), 8192, unique=False).groupBy("report_id").agg(F.count("*").alias("n_chunks"), F.sum("n_bytes").alias("n_bytes"))
 
 
+_RECORDS = """records as (select distinct report_id, lower(trim(section_type)) record_type, start_line, case when end_line = 0 then total_lines else least(end_line, total_lines) end end_line
+    from sections join reports using (report_id) where section_type is not null)"""
+
+
+def _records(spark, d) -> DataFrame:
+    """The sections' own types as records."""
+    ends = table(spark, d, "reports").select("report_id", "total_lines")
+    last = F.when(F.col("end_line") == 0, F.col("total_lines")).otherwise(F.least("end_line", "total_lines"))
+    return table(spark, d, "sections").where("section_type is not null").join(ends, "report_id").select("report_id", F.lower(F.trim("section_type")).alias("record_type"), "start_line", last.alias("end_line")).distinct()
+
+
+@named(f"""with {_LINES}, {_RECORDS}, o as (select report_id, line_number, octet_length(encode(content)) + 1 b, coalesce(sum(octet_length(encode(content)) + 1)
+      over (partition by report_id order by line_number rows between unbounded preceding and 1 preceding), 0) // 2048 k from lines),
+  bk as (select report_id, record_type, start_line record_start, k, min(line_number) s, max(line_number) e, sum(b) b from o join records r using (report_id) where line_number between r.start_line and r.end_line group by all),
+  f as (select *, case when row_number() over w = 1 or (record_type <> 'dash_separator' and sum(b) over (partition by report_id, record_type, record_start) > 4096 and b >= 512) then 1 else 0 end g from bk window w as (partition by report_id, record_type, record_start order by k)),
+  c as (select *, sum(g) over (partition by report_id, record_type, record_start order by k) c from f)
+  select report_id, record_type, record_start, min(s) start_line, max(e) end_line, cast(sum(b) as bigint) n_bytes from c group by report_id, record_type, record_start, c""")
+def section_chunks(spark, d):
+    return blocks.section_chunks(_rows(spark, d), _records(spark, d), 2048, 512, 4096, ("dash_separator",), unique=False)
+
+
+@named(f"with {_RECORDS} select record_type, count(*) n_chunks from records group by 1")
+def type_list(spark, d):
+    return index.list_types(_records(spark, d))
+
+
+@named(f"with {_RECORDS} select * from records where record_type in ('dash_separator', 'equals_separator')")
+def of_types(spark, d):
+    return index.of_types(_records(spark, d), "dash_separator", "equals_separator")
+
+
+@named("""select doc_id, lang record_type, created_at ts from documents where (lang in ('en', 'de') and created_at between timestamp '2024-06-01' and timestamp '2025-06-30') or doc_id between 1000 and 5000000""")
+def stored_chunks(spark, d):
+    """Chunks stored and read again by type and time, and by range of ids."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("record_type"), F.col("created_at").alias("ts"))
+    root = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    blocks.store_chunks(docs, root)
+    by = blocks.read_chunks(spark, root, types=["en", "de"], times=("2024-06-01", "2025-06-30"))
+    return by.unionByName(blocks.read_chunks(spark, root, id_range=(1000, 5_000_000), key="doc_id")).select("doc_id", "record_type", "ts").distinct()
+
+
+@named("select doc_id from documents where text is not null and md5(text) <> md5(trim(text))")
+def verified(spark, d):
+    """Texts that don't have the checksum of their trimmed form."""
+    return blocks.verify(table(spark, d, "documents").where("text is not null").withColumn("kept", F.md5(F.trim("text"))), "text", "kept").select("doc_id")
+
+
 @named("select doc_id, md5(text) md5, sha256(text) sha256 from documents")
 def chunk_checksum(spark, d):
     return blocks.checksums(table(spark, d, "documents"), "doc_id", "text")
@@ -542,9 +646,13 @@ def gap_repair(spark, d):
     return blocks.repaired(_ranges(spark, d).withColumn("end_line", F.col("end_line") - 4).where("end_line >= start_line"))
 
 
-@named(f"""with {_LINES}, t as (select report_id, line_number, content from lines) select report_id, line_number, regexp_matches(content, '^\\d{{2}}-\\d{{2}}\\s+\\d{{2}}:\\d{{2}}:\\d{{2}}') is_whole from t""")
+@named(f"""with {_LINES}, k as (select unnest(['logcat', 'anr', 'tombstone', 'property']) kind) select report_id, line_number, kind, case kind
+      when 'anr' then contains(content, '----- pid') and contains(content, '----- end') when 'tombstone' then contains(content, '*** *** ***')
+      when 'logcat' then regexp_matches(content, '^\\d{{2}}-\\d{{2}}\\s+\\d{{2}}:\\d{{2}}:\\d{{2}}') else true end is_whole from lines, k""")
 def record_completeness(spark, d):
-    return _rows(spark, d).select("report_id", "line_number", blocks.complete(F.lit("logcat"), F.col("content")).alias("is_whole")).distinct()
+    kinds = F.explode(F.array(*map(F.lit, ("logcat", "anr", "tombstone", "property"))))
+    rows = _rows(spark, d).select("report_id", "line_number", "content", kinds.alias("kind"))
+    return rows.select("report_id", "line_number", "kind", blocks.complete(F.col("kind"), F.col("content")).alias("is_whole")).distinct()
 
 
 _NUMBER = r"try_cast(nullif(regexp_extract(content, '(\d+(?:\.\d+)?)\s*(?:ms|frames|count)', 1), '') as double)"

@@ -8,6 +8,7 @@ import pytest
 from strataline.functions.textnorm import query_pattern, stripped, text_pieces
 from strataline.operators import blocks, catalog, context, index, language, query, sections, timing
 from strataline.operators.boundaries import boundaries, is_marker
+from strataline.plans import pipeline
 from strataline.session import materialize, release, shared_dir, small
 from strataline.sources import config as C
 from strataline.sources import lines as S
@@ -216,7 +217,7 @@ def test_blocks(spark):
     assert with_text.content_lines == ["----- pid 1 at now -----", "a", "----- end 1 -----"]
     assert blocks.fine_chunks(blocks.record_blocks(lines), 3).count() == 1
     assert [r.n_lines for r in blocks.chapter_chunks(frame(spark, {1: ["h", "--- System x", "y", "=" * 20]})).orderBy("start_line").collect()] == [1, 2, 1]
-    assert rows(blocks.record_chunks(frame(spark, {1: ["aaa", "bbb", "c"]}), 8).select("start_line", "end_line", "n_bytes"), "start_line") == [(1, 2, 8), (3, 3, 2)]
+    assert rows(blocks.record_chunks(frame(spark, {1: ["aaa", "bbb", "c"]}), 8).select("start_line", "end_line", "n_bytes", "byte_offset"), "start_line") == [(1, 2, 8, 0), (3, 3, 2, 8)]
 
 
 def test_record_types(spark):
@@ -335,7 +336,8 @@ def test_index_query_searches_every_pattern(spark):
     enhanced = spark.createDataFrame([("slow", 1, 7)], "keyword string, report_id long, line_number long")
     hits = query.index_query("slow", enhanced, custom)
     assert [r[0] for r in rows(hits.select("line_number"), "line_number")] == [0, 1, 4, 7, 9]
-    assert rows(query.index_answer(hits), "report_id") == [(1, 5, ["custom:k", "custom:q", "preset"])]
+    assert rows(query.index_answer(hits), "report_id") == [(1, ["custom_index", "enhanced_index"], 5)]
+    assert rows(query.index_answer(query.index_query("slow", enhanced, custom, use_custom=False)), "report_id") == [(1, ["enhanced_index"], 1)]
     many = spark.range(12_000).selectExpr("concat('q', id) query_name", "'regex' type", "concat('slow|', id) pattern", "1L report_id", "array(id) line_numbers")
     assert query.index_query("slow", enhanced, many, use_preset=False).count() == 12_000
 
@@ -365,3 +367,18 @@ def test_twenty_thousand_queries(spark):
     toc = spark.createDataFrame([(1, "w7. w19999.", 2, 0)], "report_id long, name string, start_line long, end_line long")
     got = rows(query.many(lines, query.QuerySet.from_table(table), toc), "query_name", "line_number")
     assert [(r[0], r[2]) for r in got] == [("q19999", 2), ("q2", 2), ("q40", 1), ("q7", 2)]
+
+
+def test_pipeline_stops_at_the_first_failure():
+    said = []
+    stages = [pipeline.Stage("a", lambda m: 1), pipeline.Stage("b", lambda m: m["a"] + 1, lambda made: made < 2), pipeline.Stage("c", lambda m: said.append(1))]
+    out = pipeline.run(stages)
+    assert [s[:2] for s in out.stages] == [("a", "ok"), ("b", "failed"), ("c", "skipped")] and not out.ok and not said and out.made["b"] == 2
+    assert pipeline.run([pipeline.Stage("x", lambda m: 1 / 0)]).error.startswith("x: ZeroDivisionError")
+    assert pipeline.run(stages[:1], {"z": 0}).ok
+
+
+def test_whole_file_subsections(spark):
+    lines = frame(spark, {1: ["a x", "b", "A y", "c"]})
+    ends = lambda n: [r[0] for r in rows(sections.whole_file_subsections(lines, [{"name": "a", "pattern": "a "}], n).select("end_line"), "end_line")]
+    assert ends(None) == [2, 4] and ends(10_000_000) == [2, 10_000_000]
