@@ -578,11 +578,11 @@ def _records(spark, d) -> DataFrame:
 @named(f"""with {_LINES}, {_RECORDS}, o as (select report_id, line_number, octet_length(encode(content)) + 1 b, coalesce(sum(octet_length(encode(content)) + 1)
       over (partition by report_id order by line_number rows between unbounded preceding and 1 preceding), 0) // 2048 k from lines),
   bk as (select report_id, record_type, start_line record_start, k, min(line_number) s, max(line_number) e, sum(b) b from o join records r using (report_id) where line_number between r.start_line and r.end_line group by all),
-  f as (select *, case when row_number() over w = 1 or (record_type <> 'dash_separator' and sum(b) over (partition by report_id, record_type, record_start) > 4096 and b >= 512) then 1 else 0 end g from bk window w as (partition by report_id, record_type, record_start order by k)),
+  f as (select *, case when row_number() over w = 1 or (record_type <> 'logcat' and sum(b) over (partition by report_id, record_type, record_start) > 4096 and b >= 512) then 1 else 0 end g from bk window w as (partition by report_id, record_type, record_start order by k)),
   c as (select *, sum(g) over (partition by report_id, record_type, record_start order by k) c from f)
   select report_id, record_type, record_start, min(s) start_line, max(e) end_line, cast(sum(b) as bigint) n_bytes from c group by report_id, record_type, record_start, c""")
 def section_chunks(spark, d):
-    return blocks.section_chunks(_rows(spark, d), _records(spark, d), 2048, 512, 4096, ("dash_separator",), unique=False)
+    return blocks.section_chunks(_rows(spark, d), _records(spark, d), 2048, 512, 4096, ("logcat",), unique=False)
 
 
 @named(f"with {_RECORDS} select record_type, count(*) n_chunks from records group by 1")
@@ -590,9 +590,9 @@ def type_list(spark, d):
     return index.list_types(_records(spark, d))
 
 
-@named(f"with {_RECORDS} select * from records where record_type in ('dash_separator', 'equals_separator')")
+@named(f"with {_RECORDS} select * from records where record_type in ('logcat', 'kernel')")
 def of_types(spark, d):
-    return index.of_types(_records(spark, d), "dash_separator", "equals_separator")
+    return index.of_types(_records(spark, d), "logcat", "kernel")
 
 
 @named("""select doc_id, lang record_type, created_at ts from documents where (lang in ('en', 'de') and created_at between timestamp '2024-06-01' and timestamp '2025-06-30') or doc_id between 1000 and 5000000""")
