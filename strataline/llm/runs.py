@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from strataline.operators.instants import parsed_instants
 from strataline.operators.parsing import parse_lines
 from strataline.session import CHUNK_LINES, materialize
 
-_repeated = re.compile(r"([^\n])\1*", re.S).finditer
+_repeated = re.compile(r"([^\n])\1+", re.S).finditer
 _RUNS = (
     "report_id bigint, chunk bigint, first_line bigint, last_line bigint, n_events bigint, first_micros bigint, last_micros bigint, "
     "level_id int, component string, message_hash bigint, from_start boolean, to_end boolean"
@@ -33,33 +34,38 @@ _SCHEMA = pa.schema(
 )
 
 
-def _symbol(n: int) -> str:
-    """The n-th of the code points used: from U+0100, without surrogates."""
-    return chr(256 + n if n < 0xD700 else 256 + n + 0x800)
-
-
-def symbol_string(keys: list) -> str:
-    """One character per event, equal for equal keys; None separates and becomes a line feed."""
-    symbols: dict = {None: "\n"}
-    return "".join([symbols[k] if k in symbols else symbols.setdefault(k, _symbol(len(symbols))) for k in keys])
+def symbol_string(codes: np.ndarray) -> str:
+    """One character per event, equal for equal codes, from U+0100 on without surrogates; a negative code separates and
+    becomes a line feed."""
+    points = np.where(codes < 0, 10, 256 + codes + np.where(codes >= 0xD700, 0x800, 0))
+    return points.astype("<u4").tobytes().decode("utf-32-le")
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """Longest repetitions of a symbol, single symbols included, as (first, last) positions."""
-    return [(m.start(), m.end() - 1) for m in _repeated(text)]
+    """Longest repetitions of a symbol as (first, last) positions, and the symbols at both ends even if they stand alone."""
+    out = [(m.start(), m.end() - 1) for m in _repeated(text)]
+    last = len(text) - 1
+    if text and text[0] != "\n" and not (out and out[0][0] == 0):
+        out.insert(0, (0, 0))
+    if last > 0 and text[last] != "\n" and not (out and out[-1][1] == last):
+        out.append((last, last))
+    return out
 
 
 def _chunk_runs(key, group):
-    g = group.sort_by("first_line")
-    first, last, at = (g.column(c).to_pylist() for c in ("first_line", "last_line", "at_micros"))
-    keys = [k[1:] if k[0] else None for k in zip(*(g.column(c).to_pylist() for c in ("entry", "level_id", "component", "message_hash")))]
-    text = symbol_string(keys)
+    g = group.sort_by("first_line").combine_chunks()
+    first, last = (g.column(c).to_numpy() for c in ("first_line", "last_line"))
+    names = g.column("component").chunk(0).dictionary_encode()
+    number = lambda c: g.column(c).fill_null(-1).to_numpy()
+    told = np.stack([number("level_id"), names.indices.fill_null(-1).to_numpy(), number("message_hash")], axis=1)
+    codes = np.unique(told, axis=0, return_inverse=True)[1].reshape(-1)
+    text = symbol_string(np.where(g.column("entry").to_numpy(), codes, -1))
+    at, level, component, message = (g.column(c) for c in ("at_micros", "level_id", "component", "message_hash"))
     rows = []
     for a, b in spans(text):
-        starts, ends = a == 0, b == len(text) - 1
-        if b > a or starts or ends:
-            known = [x for x in at[a : b + 1] if x is not None]
-            rows.append((key[0].as_py(), key[1].as_py(), first[a], last[b], b - a + 1, min(known, default=None), max(known, default=None), *keys[a], starts, ends))
+        known = [x for x in at[a : b + 1].to_pylist() if x is not None]
+        same = (c[a].as_py() for c in (level, component, message))
+        rows.append((key[0].as_py(), key[1].as_py(), int(first[a]), int(last[b]), b - a + 1, min(known, default=None), max(known, default=None), *same, a == 0, b == len(text) - 1))
     return pa.table([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [()] * len(_SCHEMA), _SCHEMA)], schema=_SCHEMA)
 
 
@@ -68,6 +74,7 @@ def collapse(events: DataFrame, size: int = CHUNK_LINES) -> DataFrame:
     component, first_micros, last_micros``."""
     if "at_micros" not in events.columns:
         events = events.withColumn("at_micros", F.lit(None).cast("bigint"))
+    events = events.select("report_id", "first_line", "last_line", "entry", "level_id", "component", "message_hash", "at_micros")
     chunked = events.withColumn("chunk", F.floor(F.col("first_line") / F.lit(size)).cast("bigint"))
     found = chunked.groupBy("report_id", "chunk").applyInArrow(_chunk_runs, _RUNS)
     # Ends that touch: the last run of a chunk and the first of the report's next chunk that has any.

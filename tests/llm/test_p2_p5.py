@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from strataline.functions import layouts as L
 from strataline.llm.runs import collapse, event_runs, spans, symbol_string
 from strataline.llm.splitting import PACK, split_sections
@@ -157,8 +159,9 @@ def test_durations(spark):
 
 
 def test_symbols():
-    assert spans(symbol_string(["a", "a", None, "b", "a"])) == [(0, 1), (3, 3), (4, 4)]
-    many = symbol_string(list(range(60_000)))
+    of = lambda *codes: spans(symbol_string(np.array(codes, np.int64)))
+    assert of(0, 0, -1, 1, 0) == [(0, 1), (4, 4)] and of(2, 3, 3, 3, -1) == [(0, 0), (1, 3)] and of(5) == [(0, 0)] and of(4, 4) == [(0, 1)] and of(-1, -1) == of() == []
+    many = symbol_string(np.arange(60_000))
     assert len(set(many)) == 60_000 and many.encode("utf-8")
 
 
