@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from strataline.functions.textnorm import contains_word, stripped
+from strataline.functions.textnorm import stripped
 from strataline.operators.boundaries import MARKERS, boundaries
 from strataline.session import CHUNK_LINES, small
 
@@ -56,22 +56,17 @@ def detect_sections(lines: DataFrame, markers=MARKERS) -> DataFrame:
     return closed(named).select("report_id", "name", "start_line", "end_line", "section_type", "level", F.lit("MEDIUM").alias("priority"), F.lit("unknown").alias("category"))
 
 
-def _holds(content: Column, p: dict) -> Column:
-    held = contains_word(content, p["pattern"])
-    return held & content.rlike(rf"(?iu)\Q{p['pattern']}\E(?!\w|\s+\w)") if p.get("whole") else held
-
-
 def _first_match(content: Column, patterns: list[dict]) -> Column:
+    """The first pattern a line holds, as a struct; the line is put in lower case once for all of them."""
     kind = "struct<name:string,pattern:string,priority:string,category:string>"
-    each = [
-        F.when(
-            _holds(content, p),
-            F.struct(F.lit(p.get("name") or p["pattern"]).alias("name"), F.lit(p["pattern"]).alias("pattern"), F.lit(p.get("priority", "MEDIUM")).alias("priority"), F.lit(p.get("category", "unknown")).alias("category")),
-        )
-        for p in patterns
-        if p.get("pattern")
-    ]
-    return F.coalesce(*each).cast(kind) if each else F.lit(None).cast(kind)
+    rows = [(p.get("name") or p["pattern"], p["pattern"], p.get("priority", "MEDIUM"), p.get("category", "unknown"), bool(p.get("whole"))) for p in patterns if p.get("pattern")]
+    if not rows:
+        return F.lit(None).cast(kind)
+    every = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("name", "pattern", "priority", "category", "whole", "word"), (*r, r[1].lower()))]) for r in rows])
+    held = F.flatten(F.transform(F.array(F.lower(content)), lambda low: F.filter(every, lambda p: F.contains(low, p["word"]))))
+    ends = lambda p: F.regexp_like(content, F.concat(F.lit("(?iu)\\Q"), p["pattern"], F.lit("\\E(?!\\w|\\s+\\w)")))
+    first = F.get(F.filter(held, lambda p: ~p["whole"] | ends(p)), 0)
+    return F.when(first.isNotNull(), F.struct(*[first[k].alias(k) for k in ("name", "pattern", "priority", "category")])).cast(kind)
 
 
 def subsections(lines: DataFrame, patterns: list[dict], first: int | None = None, last: int | None = None) -> DataFrame:

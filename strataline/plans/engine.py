@@ -196,7 +196,7 @@ _KEY_INDEX = f"{_LINES}, {_KW}, ki as (select keyword, report_id, line_number fr
 
 
 def _keyword_index(spark, d) -> DataFrame:
-    return index.keyword_index(_lines(spark, d), _KEYWORDS)
+    return index.keyword_index(_rows(spark, d), _KEYWORDS).distinct()  # hits are shuffled, and each row is looked at once
 
 
 @named(f"with {_KEY_INDEX} select * from ki")
@@ -269,7 +269,7 @@ _MANY = f"""{_LINES}, q as materialized (select * from custom_queries where enab
 
 
 def _many(spark, d) -> DataFrame:
-    return query.many(_lines(spark, d), query.QuerySet.from_table(table(spark, d, "custom_queries")))
+    return query.many(_rows(spark, d), query.QuerySet.from_table(table(spark, d, "custom_queries"))).distinct()
 
 
 @named(f"with {_MANY} select * from hits")
@@ -396,7 +396,7 @@ def result_summaries(spark, d):
 
 @named(f"with {_LINES} select report_id, line_number from lines where contains(lower(content), 'wakelock') order by 1, 2 limit 30")
 def first_hits(spark, d):
-    return context.first_hits(query.keyword_lines(_lines(spark, d), "wakelock"), 30)
+    return context.first_hits(query.keyword_lines(_rows(spark, d), "wakelock").distinct(), 30)
 
 
 # ------------------------------------------------------------------ fields and times
@@ -666,4 +666,4 @@ def _rule_sql(domain, focus, pattern, name, least) -> str:
 
 @named(f"with {_LINES} " + " union all ".join(_rule_sql(*r) for r in expected.KNOWLEDGE))
 def knowledge_tags(spark, d):
-    return query.tagged(_lines(spark, d), catalog.KNOWLEDGE)
+    return query.tagged(_rows(spark, d), catalog.KNOWLEDGE).distinct()
