@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space at either end, Unicode's and the four separators Python also strips.
 _SPACE = r"[\s\x1c-\x1f]"
+#: Unicode's space separators.
+_BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def stripped(c: Column) -> Column:
@@ -19,6 +21,11 @@ def right_stripped(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U){_SPACE}+\z", "")
 
 
+def blanks_trimmed(c: Column) -> Column:
+    """Text without space separators at either end, as DuckDB's ``trim`` leaves it; Spark's by itself takes only U+0020."""
+    return F.trim(c, F.lit(_BLANKS))
+
+
 def valid_text(c: Column) -> Column:
     """Text with invalid UTF-8 bytes dropped; valid rows are not touched."""
     return F.when(F.is_valid_utf8(c), c).otherwise(F.regexp_replace(F.make_valid_utf8(c), "\ufffd", ""))

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.functions.textnorm import blanks_trimmed
 from strataline.operators import blocks, catalog, context, index, language, query, sections, timing
 from strataline.operators.boundaries import MARKERS, boundaries
 from strataline.plans import expected
@@ -608,7 +609,7 @@ def stored_chunks(spark, d):
 @named("select doc_id from documents where text is not null and md5(text) <> md5(trim(text))")
 def verified(spark, d):
     """Texts that don't have the checksum of their trimmed form."""
-    return blocks.verify(table(spark, d, "documents").where("text is not null").withColumn("kept", F.md5(F.trim("text"))), "text", "kept").select("doc_id")
+    return blocks.verify(table(spark, d, "documents").where("text is not null").withColumn("kept", F.md5(blanks_trimmed(F.col("text")))), "text", "kept").select("doc_id")
 
 
 @named("select doc_id, md5(text) md5, sha256(text) sha256 from documents")

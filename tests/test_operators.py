@@ -1,6 +1,7 @@
 """The engine's own operators: small cases by hand."""
 
 import json
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from strataline.functions.textnorm import query_pattern, stripped, text_pieces
 from strataline.operators import blocks, catalog, context, index, language, query, sections, timing
 from strataline.operators.boundaries import boundaries, is_marker
-from strataline.plans import pipeline
+from strataline.plans import engine, pipeline
 from strataline.session import materialize, release, shared_dir, small
 from strataline.sources import config as C
 from strataline.sources import lines as S
@@ -266,6 +267,19 @@ def test_integrity(spark):
     assert rows(blocks.verify(df, "t", "c").select("id"), "id") == [(2,)]
 
 
+def test_verified_trims_every_space_separator(spark, tmp_path):
+    """Blanks beside U+0020 are trimmed as the SQL trims them; other white space stays."""
+    zs = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) == "Zs"]
+    texts = ["a b", "", None, *[x for b in zs for x in (b, b + "a", "a" + b, b + " a" + b, "a" + b + "a")], *["\t", "\n", "a\r", "\u0085a", "\u180ea", "\u200b", "a\u2028", "\ufeffa", "\ta\u00a0\n", " \t "]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(i,) for i, t in enumerate(texts) if t and (t[0] in zs or t[-1] in zs)]
+    assert rows(engine.QUERIES["verified"](spark, str(tmp_path)), "doc_id") == want
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(c.execute(engine.ORACLES["verified"]).fetchall()) == want
+
+
 def test_tokens_and_composite(spark):
     docs = spark.createDataFrame([(1, "The Cat_1 and a dög, cat_1"), (2, "dög 123"), (3, None)], "id long, t string")
     tokens = index.token_index(docs, "id", "t")
